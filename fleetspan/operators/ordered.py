@@ -57,17 +57,19 @@ def numbered(
     pos: str | None = "pos",
     running: Mapping[str, str | Column] | None = None,
     size: str | None = None,
+    keep_null: bool = False,
 ) -> DataFrame:
     """Add the 0-based position within the key, exclusive running sums and the key's row count.
 
     ``running`` maps an output column to the expression summed over all *earlier* rows of the key
-    (0 for the first row). Rows with a NULL key are dropped, as a group-by of the source data would.
+    (0 for the first row). Rows with a NULL key are dropped, as a group-by of the source data would, or with
+    ``keep_null`` form a key of their own.
     """
     keys, running = list(keys), dict(running or {})
     buckets = [bucket] if isinstance(bucket, Column) else list(bucket)
     bnames = [f"_b{i}" for i in range(len(buckets))]
     parts = keys + bnames
-    base = df.dropna(subset=keys) if keys else df
+    base = df if keep_null or not keys else df.dropna(subset=keys)
     base = base.withColumns(
         {n: b for n, b in zip(bnames, buckets)} | {f"_v_{n}": col(c) for n, c in running.items()}
     )
@@ -135,9 +137,10 @@ def windowed(
     pos: str | None = None,
     running: Mapping[str, str | Column] | None = None,
     size: str | None = None,
+    keep_null: bool = False,
 ) -> DataFrame:
     """Window columns over a bounded frame, exact on keys of any size."""
-    ranked = numbered(df, keys, order, bucket, pos="_pos", running=running, size=size)
+    ranked = numbered(df, keys, order, bucket, pos="_pos", running=running, size=size, keep_null=keep_null)
     cut, w = framed(ranked, keys, "_pos", lookback, lookahead, block)
     made = cut.withColumns(dict(columns(w))).where("_own").drop("_blk", "_own")
     return made.withColumnRenamed("_pos", pos) if pos else made.drop("_pos")
@@ -176,7 +179,10 @@ def rolling_rows_mean(df, keys, order, bucket, value, rows, min_rows=3, out="rol
 
 
 def history_features(df, keys, order, bucket, flag, value, rows=(35, 150), min_rows=3, prefix="key", block=BLOCK_ROWS):
-    """Prior count, prior rate and several row-window means of one key in two shuffles."""
+    """Prior count, prior rate and several row-window means of one key in two shuffles.
+
+    Rows without a key stay, with NULL history.
+    """
     hit = col(flag).cast("int")
     run = {"_hits": F.coalesce(hit, F.lit(0)), "_known": hit.isNotNull().cast("int")}
 
@@ -184,10 +190,14 @@ def history_features(df, keys, order, bucket, flag, value, rows=(35, 150), min_r
         return {f"{prefix}_roll{n}_mean": rolling_rows_columns(w, value, n, min_rows) for n in rows}
 
     out = windowed(
-        df, keys, order, bucket, columns, lookback=max(rows), block=block, pos=f"{prefix}_prior_count", running=run
+        df, keys, order, bucket, columns, lookback=max(rows), block=block, pos=f"{prefix}_prior_count", running=run,
+        keep_null=True,
     )
     known = F.col("_known")
-    return out.withColumn(f"{prefix}_prior_rate", F.when(known > 0, F.col("_hits") / known)).drop(*run)
+    out = out.withColumn(f"{prefix}_prior_rate", F.when(known > 0, F.col("_hits") / known)).drop(*run)
+    has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    made = [f"{prefix}_prior_count", f"{prefix}_prior_rate", *[f"{prefix}_roll{n}_mean" for n in rows]]
+    return out.withColumns({c: F.when(has_key, F.col(c)) for c in made})
 
 
 def rolling_days_mean(df, keys, ts, value, days, out="rolling_days_mean", min_rows=3) -> DataFrame:
