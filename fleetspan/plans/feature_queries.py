@@ -35,7 +35,7 @@ def feature_table(spark, sf):
 def _hist_sql(key, p):
     w = f"PARTITION BY {key} ORDER BY {ORDER}"
     roll = lambda n: f"ROUND(CASE WHEN COUNT(delay_days) OVER ({w} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) >= 3 THEN AVG(delay_days) OVER ({w} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END, 9)"
-    return f"""ROW_NUMBER() OVER ({w}) - 1 AS {p}_prior_count, AVG(is_late::INT) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {p}_prior_rate,
+    return f"""ROW_NUMBER() OVER ({w}) - 1 AS {p}_prior_count, ROUND(AVG(is_late::INT) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 12) AS {p}_prior_rate,
       {roll(35)} AS {p}_roll35_mean, {roll(150)} AS {p}_roll150_mean"""
 
 
@@ -50,7 +50,7 @@ def features(spark, sf):
     f = feature_table(spark, sf)
     rolls = [f"{p}_roll{n}_mean" for p in ("zone", "site") for n in (35, 150)]
     return f.select(*KEY, "order_month", "order_dayofweek", "days_since_start", "is_holiday", "distance_bucket", "is_high_value", "site_region", "site_capacity", "vehicle_type", "vehicle_capacity_kg",
-                    "customer_balance", "cost_per_km", "zone_prior_count", "zone_prior_rate", "site_prior_count", "site_prior_rate", *[F.round(c, 9).alias(c) for c in rolls])
+                    "customer_balance", "cost_per_km", "zone_prior_count", F.round("zone_prior_rate", 12).alias("zone_prior_rate"), "site_prior_count", F.round("site_prior_rate", 12).alias("site_prior_rate"), *[F.round(c, 9).alias(c) for c in rolls])
 
 
 # ---------------------------------------------------------------- splits
@@ -94,7 +94,8 @@ def group_split(spark, sf):
 def _direct(name):
     def build(spark, sf):
         t = with_targets(spark, sf).drop("delay", "actual_ts", "delay_days", "is_late", "cost", "revenue", "fuel_cost", "labour_cost", "toll_cost", "handling_cost", "duration_min", "co2", "ship_ts", "return_flag", "line_status", "order_status")
-        return TA.describe_task(TA.direct_task(t, TA.DIRECT_TASKS[name]), TA.DIRECT_TASKS[name].kind)
+        out = TA.describe_task(TA.direct_task(t, TA.DIRECT_TASKS[name]), TA.DIRECT_TASKS[name].kind)
+        return out.withColumns({c: F.round(c, 6) for c in ("mean", "std") if c in out.columns})
 
     return build
 
@@ -104,9 +105,9 @@ _NF = 16
 for _n, _k, _sql in [
     ("late_delivery", "binary", f"SELECT COUNT(*) AS rows, {_NF} AS features, AVG((delay_days > 0)::INT) AS positive_share FROM deliveries WHERE {_DONE}"),
     ("late_before_dispatch", "binary", f"SELECT COUNT(*) AS rows, {_NF} AS features, AVG((delay_days > 0)::INT) AS positive_share FROM deliveries WHERE {_DONE}"),
-    ("delay_minutes", "regression", f"SELECT COUNT(*) AS rows, {_NF} AS features, AVG(delay_days) AS mean, STDDEV_SAMP(delay_days) AS std FROM deliveries WHERE {_DONE}"),
-    ("eta_minutes", "regression", f"SELECT COUNT(*) AS rows, {_NF} AS features, AVG(duration_min) AS mean, STDDEV_SAMP(duration_min) AS std FROM deliveries"),
-    ("delivery_cost", "regression", f"SELECT COUNT(*) AS rows, {_NF} AS features, AVG(cost) AS mean, STDDEV_SAMP(cost) AS std FROM deliveries"),
+    ("delay_minutes", "regression", f"SELECT COUNT(*) AS rows, {_NF} AS features, ROUND(AVG(delay_days), 6) AS mean, ROUND(STDDEV_SAMP(delay_days), 6) AS std FROM deliveries WHERE {_DONE}"),
+    ("eta_minutes", "regression", f"SELECT COUNT(*) AS rows, {_NF} AS features, ROUND(AVG(duration_min), 6) AS mean, ROUND(STDDEV_SAMP(duration_min), 6) AS std FROM deliveries"),
+    ("delivery_cost", "regression", f"SELECT COUNT(*) AS rows, {_NF} AS features, ROUND(AVG(cost), 6) AS mean, ROUND(STDDEV_SAMP(cost), 6) AS std FROM deliveries"),
     ("risk_bucket", "multiclass", f"SELECT COUNT(*) AS rows, {_NF} AS features, 3::BIGINT AS classes FROM deliveries"),
     ("route_failure", "binary", f"SELECT COUNT(*) AS rows, {_NF} AS features, AVG((status = 'returned')::INT) AS positive_share FROM deliveries"),
 ]:
