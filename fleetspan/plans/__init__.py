@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["mart_queries", "relational_queries", "quality_queries", "feature_queries", "planning_queries"]
+MODULES = ["mart_queries", "relational_queries", "quality_queries", "feature_queries", "planning_queries", "model_queries"]
 
 
 def load_all():

@@ -217,7 +217,7 @@ def forecast_totals(spark, sf):
     return R6(FC.forecast_totals(d, FC.demand_forecast(d)), "next_7", "next_30", "change_pct")
 
 
-@query("seasonal_factors", f"{DAILY_SQL}, {fc_sql('fa_', 'TRUE')} SELECT 'month' AS part, m::INTEGER AS slot, ROUND(g, 9) AS factor FROM fa_m UNION ALL SELECT 'weekday', w::INTEGER, ROUND(g, 9) FROM ad")
+@query("seasonal_factors", f"{DAILY_SQL}, {fc_sql('fa_', 'TRUE')} SELECT 'month' AS part, m::INTEGER AS slot, ROUND(g, 9) AS factor FROM fa_m UNION ALL SELECT 'weekday', w::INTEGER, ROUND(g, 9) FROM fa_d")
 def seasonal_factors(spark, sf):
     _, m, d = FC.decompose(daily(spark, sf))
     a = m.select(F.lit("month").alias("part"), F.col("month").alias("slot"), F.round("factor_month", 9).alias("factor"))
