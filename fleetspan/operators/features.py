@@ -20,14 +20,17 @@ def build_features(
     orders: DataFrame, dims: Sequence[tuple[DataFrame, str, str, Mapping[str, str]]], order_key: Sequence[str],
     history: Mapping[str, str], ts: str = "order_ts", late: str = "is_late", delay: str = "delay_days",
     holidays: DataFrame | None = None, country: str = "country", high_value: str | None = "value", step: int = 86400,
+    start_from: DataFrame | None = None, value_from: DataFrame | None = None,
 ) -> DataFrame:
     """``dims``: (table, foreign key, primary key, columns); ``history``: prefix to key column.
 
+    ``start_from`` and ``value_from`` may name narrower tables with the same times and values; the first
+    time and the value threshold are then found without repeating the joins behind ``orders``.
     Look-ups are left joins whose broadcast is decided by size; each history key costs two shuffles.
     """
     parts = calendar_parts(ts)
     df = orders.withColumns(parts)
-    start = orders.agg(F.min(ts)).scalar()
+    start = (orders if start_from is None else start_from).agg(F.min(ts)).scalar()
     df = df.withColumn("_start", start).withColumn("days_since_start", days_since(ts, F.col("_start"))).drop("_start")
     for c, period, name in (("order_hour", 24, "hour"), ("order_dayofweek", 7, "dow"), ("order_month", 12, "month")):
         s, co = cyclical(c, period)
@@ -41,7 +44,7 @@ def build_features(
         "weight_class": case_ladder([F.col("weight_kg") < 5, F.col("weight_kg") < 20], ["light", "medium"], "heavy"),
     })
     if high_value:
-        df = high_value_flag(df, high_value)
+        df = high_value_flag(df, high_value, source=value_from)
         df = df.withColumns({"log_value": F.log1p(clip(high_value, lo=0.0)), "value_per_kg": safe_ratio(high_value, "weight_kg", 0.01)})
     for table, fk, pk, columns in dims:
         df = lookup_join(df, table, fk, pk, columns)

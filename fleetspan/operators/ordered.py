@@ -138,11 +138,16 @@ def windowed(
     running: Mapping[str, str | Column] | None = None,
     size: str | None = None,
     keep_null: bool = False,
+    first: Callable[[Window], Mapping[str, Column]] | None = None,
 ) -> DataFrame:
-    """Window columns over a bounded frame, exact on keys of any size."""
+    """Window columns over a bounded frame, exact on keys of any size.
+
+    ``first`` adds helper columns over the same window that ``columns`` may look back on.
+    """
     ranked = numbered(df, keys, order, bucket, pos="_pos", running=running, size=size, keep_null=keep_null)
     cut, w = framed(ranked, keys, "_pos", lookback, lookahead, block)
-    made = cut.withColumns(dict(columns(w))).where("_own").drop("_blk", "_own")
+    helpers = dict(first(w)) if first else {}
+    made = cut.withColumns(helpers).withColumns(dict(columns(w))).where("_own").drop("_blk", "_own", *helpers)
     return made.withColumnRenamed("_pos", pos) if pos else made.drop("_pos")
 
 
@@ -162,9 +167,18 @@ def prior_rate(df, keys, order, bucket, flag, out="prior_rate") -> DataFrame:
     return ranked.withColumn(out, F.when(F.col("_known") > 0, F.col("_hits") / F.col("_known"))).drop(*run)
 
 
-def rolling_rows_columns(w, value: str, rows: int, min_rows: int) -> Column:
-    past = w.rowsBetween(-rows, -1)
-    return F.when(F.count(value).over(past) >= min_rows, F.avg(value).over(past))
+def prefix_sums(w, value: str) -> dict[str, Column]:
+    """Sum and count of the finite values before each row of the block."""
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    v = F.when(F.abs(value) < float("inf"), F.col(value).cast("double"))
+    return {"_cum": F.coalesce(F.sum(v).over(before), F.lit(0.0)), "_cnt": F.count(v).over(before)}
+
+
+def rolling_mean_column(w, rows: int, min_rows: int) -> Column:
+    """Mean of the previous ``rows`` rows as a difference of prefix sums: constant work per row."""
+    n = F.col("_cnt") - F.lag("_cnt", rows, 0).over(w)
+    total = F.col("_cum") - F.lag("_cum", rows, 0.0).over(w)
+    return F.when(n >= min_rows, total / n)
 
 
 def rolling_rows_mean(df, keys, order, bucket, value, rows, min_rows=3, out="rolling_mean", block=BLOCK_ROWS):
@@ -173,8 +187,8 @@ def rolling_rows_mean(df, keys, order, bucket, value, rows, min_rows=3, out="rol
     The source data's "7 day" and "30 day" columns are in fact the previous 35 and 150 rows.
     """
     return windowed(
-        df, keys, order, bucket, lambda w: {out: rolling_rows_columns(w, value, rows, min_rows)},
-        lookback=rows, block=block,
+        df, keys, order, bucket, lambda w: {out: rolling_mean_column(w, rows, min_rows)},
+        lookback=rows, block=block, first=lambda w: prefix_sums(w, value),
     )
 
 
@@ -187,11 +201,11 @@ def history_features(df, keys, order, bucket, flag, value, rows=(35, 150), min_r
     run = {"_hits": F.coalesce(hit, F.lit(0)), "_known": hit.isNotNull().cast("int")}
 
     def columns(w):
-        return {f"{prefix}_roll{n}_mean": rolling_rows_columns(w, value, n, min_rows) for n in rows}
+        return {f"{prefix}_roll{n}_mean": rolling_mean_column(w, n, min_rows) for n in rows}
 
     out = windowed(
         df, keys, order, bucket, columns, lookback=max(rows), block=block, pos=f"{prefix}_prior_count", running=run,
-        keep_null=True,
+        keep_null=True, first=lambda w: prefix_sums(w, value),
     )
     known = F.col("_known")
     out = out.withColumn(f"{prefix}_prior_rate", F.when(known > 0, F.col("_hits") / known)).drop(*run)

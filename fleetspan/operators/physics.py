@@ -115,9 +115,9 @@ def filter_known_target(df: DataFrame, target: str) -> DataFrame:
     return df.where(F.col(target).isNotNull())
 
 
-def high_value_flag(df: DataFrame, c: str, q: float = 0.9, out: str = "is_high_value") -> DataFrame:
-    """Above the global quantile; the threshold is one scalar computed first."""
-    cut = exact_quantiles(df, [], c, {"cut": q}).scalar()
+def high_value_flag(df: DataFrame, c: str, q: float = 0.9, out: str = "is_high_value", source: DataFrame | None = None) -> DataFrame:
+    """Above the global quantile; the threshold is one scalar computed first, from ``source`` if given."""
+    cut = exact_quantiles(df if source is None else source, [], c, {"cut": q}).scalar()
     return df.withColumn("_cut", cut).withColumn(out, F.coalesce(F.col(c) > F.col("_cut"), F.lit(False))).drop("_cut")
 
 

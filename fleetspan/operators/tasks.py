@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import has_label
 from ..functions.scalars import rate
 from .joins import flag_members
-from .ordered import lead_label, windowed
+from .ordered import lead_label, prefix_sums, rolling_mean_column, windowed
 from .physics import LEAKAGE_COLUMNS, drop_columns
 from .quantiles import exact_quantiles
 
@@ -71,11 +71,9 @@ def congestion(site_day: DataFrame, site: str, period: str, order_bucket: Column
     days = site_day.join(cut, site, "inner").withColumn("label", (F.col("orders_count") > F.col("_cut")).cast("int"))
 
     def columns(w):
-        past = w.rowsBetween(-7, -1)
-        roll = F.when(F.count("orders_count").over(past) >= 2, F.avg("orders_count").over(past))
-        return {f"orders_lag{k}": F.lag("orders_count", k).over(w) for k in lags} | {"orders_roll7": roll}
+        return {f"orders_lag{k}": F.lag("orders_count", k).over(w) for k in lags} | {"orders_roll7": rolling_mean_column(w, 7, 2)}
 
-    made = windowed(days, [site], [period], order_bucket, columns, lookback=max(7, *lags))
+    made = windowed(days, [site], [period], order_bucket, columns, lookback=max(7, *lags), first=lambda w: prefix_sums(w, "orders_count"))
     out = made.where(F.col("orders_lag1").isNotNull()).withColumns({"dow": F.weekday(period), "month": F.month(period)})
     same_day = ["_cut", "orders_count", "total_weight_kg", "late_rate", "avg_km", "cold_share"]
     return out.join(attributes, site, "left").drop(*same_day)

@@ -29,7 +29,10 @@ def feature_table(spark, sf):
         (B.vehicles(spark, sf), "sku_id", "vehicle_id", {"vehicle_type": "vehicle_type", "capacity_kg": "vehicle_capacity_kg", "model_year": "vehicle_year"}),
         (B.table(spark, sf, "customer"), "customer_id", "c_custkey", {"c_acctbal": "customer_balance"}),
     ]
-    return FE.build_features(d, dims, KEY, {"zone": "zone_id", "site": "site_id"}, holidays=h)
+    # every line has its order (see fk_report), so the narrow tables hold the same times and values
+    start = B.table(spark, sf, "orders").join(B.table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+    values = B.table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("value"))
+    return FE.build_features(d, dims, KEY, {"zone": "zone_id", "site": "site_id"}, holidays=h, start_from=start.select(F.col("o_orderdate").alias("order_ts")), value_from=values)
 
 
 def _hist_sql(key, p):
