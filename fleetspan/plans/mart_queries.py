@@ -206,11 +206,13 @@ def rank_in_region(spark, sf):
     return dense_rank_in_group(micro, ["site_region", "month"], "score_micro", -F.floor(F.col("score_micro") / 1_000_000))
 
 
-@query("driver_ranking", f"""{DELIV}, {SCORE_SQL} SELECT site_id, CAST(SUM(deliveries) AS BIGINT) AS deliveries,
+@query("driver_ranking", f"""{DELIV}, {SCORE_SQL}, ranked AS (SELECT site_id, CAST(SUM(deliveries) AS BIGINT) AS deliveries,
   {da('CAST(on_time_rate AS DECIMAL(18,12))', 12)} AS on_time, {da('CAST(performance_score AS DECIMAL(18,12))', 12)} AS score,
-  {da('cost_per_delivery', 8)} AS cost_per_delivery FROM scorecard GROUP BY 1 ORDER BY score DESC, site_id LIMIT 25""")
+  {da('cost_per_delivery', 8)} AS cost_per_delivery FROM scorecard GROUP BY 1 ORDER BY score DESC, site_id LIMIT 25)
+  SELECT site_id, deliveries, ROUND(on_time, 9) AS on_time, ROUND(score, 9) AS score, ROUND(cost_per_delivery, 6) AS cost_per_delivery FROM ranked""")
 def driver_ranking(spark, sf):
-    return A.driver_ranking(scorecard(spark, sf), "site_id", 25)
+    out = A.driver_ranking(scorecard(spark, sf), "site_id", 25)
+    return out.withColumns({"on_time": F.round("on_time", 9), "score": F.round("score", 9), "cost_per_delivery": F.round("cost_per_delivery", 6)})
 
 
 @query("score_histogram", f"""{DELIV}, {SCORE_SQL} SELECT round_even(performance_score, 0) AS score, COUNT(*) AS n FROM scorecard GROUP BY 1""")

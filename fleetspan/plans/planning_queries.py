@@ -34,10 +34,14 @@ def policy(spark, sf):
     return PL.inventory_policy(B.inventory(spark, sf), "region", "sku_id", "sku_category")
 
 
-@query("inventory_policy", POLICY_SQL + " SELECT region, sku_id, sku_category, " + ", ".join(f"ROUND({c}, 9) AS {c}" for c in ("daily_demand", "eoq", "new_safety_stock", "new_reorder_point", "orders_per_year", "annual_cost", "baseline_cost")) + ", ROUND(baseline_cost - annual_cost, 9) AS saving FROM policy")
+# shown digits: fewer for large amounts, whose last binary digits depend on the order of addition
+_POLICY_DIGITS = {"daily_demand": 9, "annual_cost": 5, "baseline_cost": 5, "saving": 5}
+
+
+@query("inventory_policy", POLICY_SQL + " SELECT region, sku_id, sku_category, " + ", ".join(f"ROUND({c}, {_POLICY_DIGITS.get(c, 7)}) AS {c}" for c in ("daily_demand", "eoq", "new_safety_stock", "new_reorder_point", "orders_per_year", "annual_cost", "baseline_cost")) + ", ROUND(baseline_cost - annual_cost, 5) AS saving FROM policy")
 def inventory_policy(spark, sf):
     cols = ("daily_demand", "eoq", "new_safety_stock", "new_reorder_point", "orders_per_year", "annual_cost", "baseline_cost", "saving")
-    return policy(spark, sf).withColumns({c: F.round(c, 9) for c in cols}).select("region", "sku_id", "sku_category", *cols)
+    return policy(spark, sf).withColumns({c: F.round(c, _POLICY_DIGITS.get(c, 7)) for c in cols}).select("region", "sku_id", "sku_category", *cols)
 
 
 @query("policy_by_category", POLICY_SQL + " SELECT sku_category, COUNT(*) AS skus, ROUND(AVG(eoq), 6) AS avg_eoq, ROUND(AVG(new_reorder_point), 6) AS avg_reorder_point, ROUND(SUM(annual_cost), 4) AS annual_cost, ROUND(SUM(baseline_cost), 4) AS baseline_cost FROM policy GROUP BY 1")
@@ -239,8 +243,8 @@ def _scenario_sql():
   LEAST(GREATEST((100 - on_time_rate) / 100 + (traffic - 1) * quartile_gap + (weather - 1) * adverse_gap + GREATEST(pressure - 1, 0) * 0.22::DOUBLE - GREATEST(cap - 1, 0) * 0.06::DOUBLE - route * 0.035::DOUBLE, 0.005), 0.85) AS late FROM q2),
  o AS (SELECT scenario, so AS orders, (1 - late) * 100 AS on_time, fuel_cost + labour_cost + other_cost + site_cost AS cost, total_revenue * demand AS revenue, total_revenue * demand - (fuel_cost + labour_cost + other_cost + site_cost) AS margin,
   (fuel_cost + labour_cost + other_cost + site_cost) / GREATEST(so, 1) AS cost_per_order, skm AS km_per_order, total_co2 * (s_km / total_km) * (1 - route * 0.1::DOUBLE) AS co2, pressure, CASE WHEN fleet <= drv THEN 'fleet' ELSE 'drivers' END AS binding, fuel_cost, labour_cost, other_cost, site_cost FROM r)
- SELECT scenario, binding, {", ".join(f"ROUND(o.{c}, 4) AS {c}" for c in _SC)}, ROUND(o.on_time * 100 / b.on_time, 6) AS on_time_index, ROUND(o.cost_per_order * 100 / b.cost_per_order, 6) AS cost_per_order_index,
-  ROUND(o.km_per_order * 100 / b.km_per_order, 6) AS km_per_order_index, ROUND(o.margin - b.margin, 4) AS margin_change FROM o, (SELECT on_time, cost_per_order, km_per_order, margin FROM o WHERE scenario = 'baseline') b"""
+ SELECT scenario, binding, {", ".join(f"ROUND(o.{c}, 2) AS {c}" for c in _SC)}, ROUND(o.on_time * 100 / b.on_time, 6) AS on_time_index, ROUND(o.cost_per_order * 100 / b.cost_per_order, 6) AS cost_per_order_index,
+  ROUND(o.km_per_order * 100 / b.km_per_order, 6) AS km_per_order_index, ROUND(o.margin - b.margin, 2) AS margin_change FROM o, (SELECT on_time, cost_per_order, km_per_order, margin FROM o WHERE scenario = 'baseline') b"""
 
 
 _SC = ["orders", "on_time", "cost", "revenue", "margin", "cost_per_order", "km_per_order", "co2", "pressure", "fuel_cost", "labour_cost", "other_cost", "site_cost"]
@@ -249,7 +253,7 @@ _SC = ["orders", "on_time", "cost", "revenue", "margin", "cost_per_order", "km_p
 @query("scenario_table", _scenario_sql())
 def scenario_table(spark, sf):
     out = FC.scenario_table(structure(spark, sf), elasticity(spark, sf), SCENARIOS)
-    return out.withColumns({**{c: F.round(c, 4) for c in [*_SC, "margin_change"]}, **{f"{c}_index": F.round(f"{c}_index", 6) for c in ("on_time", "cost_per_order", "km_per_order")}})
+    return out.withColumns({**{c: F.round(c, 2) for c in [*_SC, "margin_change"]}, **{f"{c}_index": F.round(f"{c}_index", 6) for c in ("on_time", "cost_per_order", "km_per_order")}})
 
 
 # ---------------------------------------------------------------- map layers
