@@ -11,11 +11,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
 from .aggregates import distinct_counts
+from .ordered import numbered
 from .profile import column_roles, top_values
 from .quantiles import column_quantiles
 
@@ -64,7 +65,7 @@ def clip_quantiles(df: DataFrame, bounds: Mapping[str, tuple[float, float]]) ->
 def level_codes(df: DataFrame, c: str) -> DataFrame:
     """Alphabetic codes 0..k-1 of a column's levels as a table, for any number of levels."""
     levels = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("level")).distinct()
-    return levels.withColumn("code", F.row_number().over(Window.orderBy("level")) - 1)
+    return numbered(levels, [], ["level"], F.substring("level", 1, 3), pos="code")
 
 
 def fit_levels(df: DataFrame, columns: Sequence[str], limit: int = MAX_LEVELS) -> dict[str, list[str]]:

@@ -331,3 +331,8 @@ def replayed_cleaning(spark, sf):
     return C.replay(df.withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "P", "new").otherwise(F.col("o_orderstatus"))), meta)
 
 
+
+
+@query("level_code_table", "SELECT o_orderpriority AS level, ROW_NUMBER() OVER (ORDER BY o_orderpriority) - 1 AS code FROM (SELECT DISTINCT o_orderpriority FROM orders)")
+def level_code_table(spark, sf):
+    return C.level_codes(orders(spark, sf), "o_orderpriority")
