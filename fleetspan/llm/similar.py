@@ -16,7 +16,9 @@ from .store import components, stored
 
 ENTRIES = 4_000_000  # shingles that one task sorts
 BATCH = 2_000_000  # shingles gathered before they are dealt out
-FEW = 24  # members outside a list's main part that are held against all others at once; doubles each round
+ANCHORS = 6  # least hashes by which sets find a first set to be compared with
+MAP = 8  # longs in a set's bit map
+FEW = 16  # members outside a list's main part that are held against all others at once; grows eightfold each round
 
 
 def signature(words: int):
@@ -150,9 +152,14 @@ def _prefixes(buckets: int, percent: int):
         for k, end in zip(np.flatnonzero(fine), ends):
             s = sids[first:end]
             lone = size_of[k] - len(s)
-            rows.append((int(own[k].view(np.int64)), int(size_of[k]), np.sort(s).tobytes(), s[: size_of[k] - least[k] + 1 - lone]))
+            anchors = [int(s[np.argmin(mix(s.view(np.uint64) * np.uint64(2 * r + 1) + np.uint64(r)))]) * ANCHORS + r for r in range(ANCHORS)]
+            # each shingle turns one bit: two sets differ by at least the bits in which their maps differ
+            place = mix(s.view(np.uint64)) % np.uint64(64 * MAP)
+            turned = np.bincount(place.astype(np.int64), minlength=64 * MAP) & 1
+            bits = np.packbits(turned.astype(np.uint8), bitorder="little").view(np.int64)
+            rows.append((int(own[k].view(np.int64)), int(size_of[k]), np.sort(s).tobytes(), s[: size_of[k] - least[k] + 1 - lone], anchors, bits))
             first = end
-        return pd.DataFrame(rows, columns=["cls", "n", "sids", "prefix"])
+        return pd.DataFrame(rows, columns=["cls", "n", "sids", "prefix", "anchors", "bits"])
 
     return run
 
@@ -171,64 +178,84 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_sets(texts: DataFrame, total: int, words: int, percent: int) -> DataFrame:
-    """(cls, n, sids, prefix) for the sets that may have a partner, from rows of one text; a set may occur in many rows."""
+    """(cls, n, sids, prefix, anchors, bits) for the sets that may have a partner, from rows of one text; a set may occur in many rows."""
     spark = texts.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ENTRIES))
     dealt = texts.mapInArrow(_deal(words, buckets), "bucket int, block binary").repartition(buckets, "bucket")
     sent = dealt.groupBy("bucket").applyInPandas(_shared(buckets, buckets), "owner int, bucket int, block binary").repartition(buckets, "owner")
-    return stored(sent.groupBy("owner").applyInPandas(_prefixes(buckets, percent), "cls long, n long, sids binary, prefix array<long>"), "sets")
+    return stored(sent.groupBy("owner").applyInPandas(_prefixes(buckets, percent), "cls long, n long, sids binary, prefix array<long>, anchors array<long>, bits array<long>"), "sets")
 
 
-def linked(sets: DataFrame, percent: int) -> DataFrame | None:
+def _answers(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Overlaps of (a, b, na, nb) pairs."""
+    with_sets = pairs.join(sets.select(F.col("cls").alias("b"), F.col("sids").alias("sb")), "b").join(sets.select(F.col("cls").alias("a"), F.col("sids").alias("sa")), "a")
+    return stored(with_sets.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_overlaps, "a long, b long, na long, nb long, inter long"), "overlaps")
+
+
+def linked(sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the sets that are linked.
 
-    Index lists hold the sets whose prefix has a shingle, cut into blocks by set size: sizes of linked sets differ by the
-    threshold at most, so only neighbouring blocks meet. Lists with the same members are one. A list is done when its members
-    are in one component; otherwise its members outside the main part are compared with all, or, if they are many, one of
-    them is. Answers are derived where they can be: what is known of a set and a similar one, through a third that both were
-    compared with, bounds their overlap, and pairs below the threshold by that bound are not read.
+    First, sets with an equal least hash meet the first of them, which settles most groups of near copies in a row per set
+    and hash. Then index lists hold the sets whose prefix has a shingle, cut into blocks by set size: sizes of linked sets
+    differ by the threshold at most, so only neighbouring blocks meet. A list whose members are in one component is skipped,
+    and lists with the same members are one. In the others, members outside the main part are compared with all, or, if they
+    are many, one of them is, until none is left. Answers are derived where they can be: the overlap with the best-linked set of
+    a component bounds the overlap with each of its similar sets, and bit maps bound how much two sets differ; pairs below the threshold
+    by such a bound are not read. So every pair that may link is compared, derived, or already joined by others.
     """
-    spark = sets.sparkSession
+    need = percent * (F.col("na") + F.col("nb"))  # of (100 + percent) times the overlap
+    close = lambda known: known.where((100 + percent) * F.col("inter") >= need).select("a", "b")
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    turned = [F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))]
+
+    rows = sets.select("cls", "n", F.explode("anchors").alias("anchor"))
+    heads = rows.groupBy("anchor").agg(F.min(F.struct("cls", "n")).alias("h"), F.count("*").alias("m")).where("m > 1").select("anchor", F.col("h.cls").alias("a"), F.col("h.n").alias("na"))
+    known = _answers(rows.select("anchor", F.col("cls").alias("b"), F.col("n").alias("nb")).join(heads, "anchor").where((F.col("a") != F.col("b")) & near).select("a", "b", "na", "nb").distinct(), sets)
+    comp = stored(components(close(known)), "components")
+
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
-    members = sets.select("cls", "n", F.explode("prefix").alias("sid")).withColumn("block", F.explode(F.array(block, block - 1)))
-    # lists with equal members are one
-    prints = members.groupBy("sid", "block").agg(F.count("*").alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.col("cls"), F.lit(1))).alias("x")).where("m > 1")
+    label = lambda df: df.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
+    members = label(sets.select("cls", "n", "prefix")).select("cls", "n", "label", F.explode("prefix").alias("sid"), block.alias("own")).withColumn("block", F.explode(F.array("own", F.col("own") - 1)))
+    prints = members.groupBy("sid", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.col("cls"), F.lit(1))).alias("x")).where("low <> high")
     one = prints.groupBy("m", "s", "x").agg(F.min(F.struct("sid", "block")).alias("k")).select("k.sid", "k.block")
     lists = stored(members.join(one, ["sid", "block"]).select(F.xxhash64("sid", "block").alias("list"), "cls", "n"), "lists")
-    need = lambda na, nb: percent * (na + nb)  # noqa: E731  of (100 + percent) times the overlap
-    links, known, comp, few = None, None, None, FEW
+    few = FEW
+
+    def main(rows: DataFrame) -> DataFrame:
+        """Lists of several components: the one with most members, and how many others there are."""
+        parts = rows.groupBy("list", "label").agg(F.count("*").alias("k")).groupBy("list")
+        return parts.agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("m")).where("top.k < m").select("list", F.col("top.label").alias("low"), (F.col("m") - F.col("top.k")).alias("outside"))
+
     while True:
-        labelled = lists.withColumn("label", F.col("cls")) if comp is None else lists.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("list", "cls", "n", F.coalesce("component", "cls").alias("label"))
-        heads = labelled.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("label", "cls", "n")).alias("pivot"))
-        heads = heads.where("low <> high")
-        open_ = labelled.join(heads, "list")
-        rest = open_.groupBy("list").agg(F.sum((F.col("label") != F.col("low")).cast("int")).alias("outside"))
-        open_ = stored(open_.join(rest, "list"), "open-lists")
+        open_ = lists.join(main(label(lists)).select("list", "low"), "list")
+        # every member meets the best-linked set of the list's main component: it joins that, or bounds what follows
+        degree = close(known).select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").count()
+        best = label(sets.select("cls", "n")).join(degree, "cls").groupBy("label").agg(F.max(F.struct("count", "cls", "n")).alias("r")).select(F.col("label").alias("low"), F.col("r.cls").alias("r"), F.col("r.n").alias("rn"))
+        open_ = stored(open_.join(best, "low", "left").select("list", "cls", "n", F.coalesce("r", "low").alias("r"), "rn"), "open-lists")
         if open_.isEmpty():
-            break
-        # outsiders of a list, or one of many
-        left = open_.where((F.col("outside") <= few) & (F.col("label") != F.col("low"))).select("list", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        left = left.unionByName(open_.where(F.col("outside") > few).groupBy("list").agg(F.first("pivot").alias("p")).select("list", F.col("p.cls").alias("a"), F.col("p.n").alias("na"), F.col("p.label").alias("la")))
-        pairs = left.join(open_.select("list", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb")), "list").where("la <> lb")
-        pairs = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))]).distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-            both = known.select(F.col("a").alias("x"), F.col("b").alias("r"), "inter").unionByName(known.select(F.col("b").alias("x"), F.col("a").alias("r"), "inter"))
-            far = pairs.join(both.select(F.col("x").alias("a"), "r", F.col("inter").alias("ia")), "a").join(both.select(F.col("x").alias("b"), "r", F.col("inter").alias("ib")), ["b", "r"])
-            # what b and r share, and at most all that a has beside r
-            bound = F.least(F.col("ib") + F.col("na") - F.col("ia"), F.col("ia") + F.col("nb") - F.col("ib"))
-            far = far.where((100 + percent) * bound < need(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-            pairs = pairs.join(far, ["a", "b"], "left_anti")
-        with_sets = pairs.join(sets.select(F.col("cls").alias("b"), F.col("sids").alias("sb")), "b").join(sets.select(F.col("cls").alias("a"), F.col("sids").alias("sa")), "a")
-        answers = stored(with_sets.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_overlaps, "a long, b long, na long, nb long, inter long"), "overlaps")
-        known = answers if known is None else known.unionByName(answers)
-        close = answers.where((100 + percent) * F.col("inter") >= need(F.col("na"), F.col("nb"))).select("a", "b")
-        links = close if links is None else links.unionByName(close)
-        comp = stored(components(links), "components")
+            return comp
+        meet = open_.where("rn is not null and cls <> r").select(F.col("cls").alias("a"), F.col("r").alias("b"), F.col("n").alias("na"), F.col("rn").alias("nb")).where(near).select(*turned).distinct()
+        known = known.unionByName(_answers(meet.join(known.select("a", "b"), ["a", "b"], "left_anti"), sets))
+        comp = stored(components(close(known)), "components")
+        both = known.select(F.col("a").alias("cls"), F.col("b").alias("r"), "inter").unionByName(known.select(F.col("b").alias("cls"), F.col("a").alias("r"), "inter"))
+        labelled = label(open_).join(both, ["cls", "r"], "left").withColumn("inter", F.when(F.col("cls") == F.col("r"), F.col("n")).otherwise(F.col("inter"))).drop("r", "rn")
+        rest = labelled.join(main(labelled), "list")
+        pivot = rest.where("label <> low").groupBy("list").agg(F.max("cls").alias("pivot"))
+        rest = stored(rest.join(pivot, "list"), "outsiders")
+        # outsiders of a list, or one of many, and the list's members that they may still overlap enough
+        side = lambda x: [F.col(c).alias(f"{d}{x}") for c, d in (("cls", ""), ("n", "n"), ("label", "l"), ("inter", "i"), ("shared", "s"), ("bits", "m"))]
+        rest = rest.join(sets.select("cls", (F.octet_length("sids") / 8).cast("long").alias("shared"), "bits"), "cls")
+        left = rest.where((F.col("outside") <= few) & (F.col("label") != F.col("low")) | (F.col("outside") > few) & (F.col("cls") == F.col("pivot"))).select("list", *side("a"))
+        # what one shares with r, and at most all that the other has beside r
+        bound = F.least(F.col("ib") + F.col("na") - F.col("ia"), F.col("ia") + F.col("nb") - F.col("ib"))
+        differ = sum(F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(MAP))
+        may = near & F.coalesce((100 + percent) * bound >= need, F.lit(True)) & ((100 + percent) * (F.col("sa") + F.col("sb") - differ) >= 2 * need)
+        pairs = left.join(rest.select("list", *side("b")), "list").where((F.col("la") != F.col("lb")) & may).select(*turned).distinct()
+        known = known.unionByName(_answers(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), sets))
+        comp = stored(components(close(known)), "components")
         # lists whose outsiders met all others are done; a pivot leaves its list
-        lists = open_.where((F.col("outside") > few) & (F.col("cls") != F.col("pivot.cls"))).select("list", "cls", "n")
-        few *= 2
-    return comp
+        lists = rest.where((F.col("outside") > few) & (F.col("cls") != F.col("pivot"))).select("list", "cls", "n")
+        few *= 8
 
 
 def similar_records(customers: DataFrame, customer_id: str = "customer_id", address: str = "address", words: int = 5, percent: int = 75) -> DataFrame:
