@@ -187,8 +187,13 @@ def shared_sets(texts: DataFrame, total: int, words: int, percent: int) -> DataF
 
 
 def _answers(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Overlaps of (a, b, na, nb) pairs."""
-    with_sets = pairs.join(sets.select(F.col("cls").alias("b"), F.col("sids").alias("sb")), "b").join(sets.select(F.col("cls").alias("a"), F.col("sids").alias("sa")), "a")
+    """Overlaps of (a, b, na, nb) pairs; only their sets are moved."""
+    pairs = stored(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs.withColumn("inter", F.lit(0).cast("long"))
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "pair-ids")  # small ones are broadcast by their size
+    mine = sets.select("cls", "sids").join(ids, "cls", "left_semi")
+    with_sets = pairs.join(mine.select(F.col("cls").alias("b"), F.col("sids").alias("sb")), "b").join(mine.select(F.col("cls").alias("a"), F.col("sids").alias("sa")), "a")
     return stored(with_sets.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_overlaps, "a long, b long, na long, nb long, inter long"), "overlaps")
 
 
@@ -199,8 +204,8 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     and hash. Then index lists hold the sets whose prefix has a shingle, cut into blocks by set size: sizes of linked sets
     differ by the threshold at most, so only neighbouring blocks meet. A list whose members are in one component is skipped,
     and lists with the same members are one. In the others, members outside the main part are compared with all, or, if they
-    are many, one of them is, until none is left. Answers are derived where they can be: the overlap with the best-linked set of
-    a component bounds the overlap with each of its similar sets, and bit maps bound how much two sets differ; pairs below the threshold
+    are many, one of them is, until none is left. Answers are derived where they can be: the overlaps of two sets with one that
+    is highly similar to either bound their own, and bit maps bound how much two sets differ; pairs below the threshold
     by such a bound are not read. So every pair that may link is compared, derived, or already joined by others.
     """
     need = percent * (F.col("na") + F.col("nb"))  # of (100 + percent) times the overlap
@@ -213,48 +218,41 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     known = _answers(rows.select("anchor", F.col("cls").alias("b"), F.col("n").alias("nb")).join(heads, "anchor").where((F.col("a") != F.col("b")) & near).select("a", "b", "na", "nb").distinct(), sets)
     comp = stored(components(close(known)), "components")
 
+    # each set's overlap with the head it shares most with
+    told = known.select(F.explode(F.array(F.struct(F.col("b").alias("cls"), F.col("a").alias("r"), "inter"), F.struct(F.col("a").alias("cls"), F.col("a").alias("r"), F.col("na").alias("inter")))).alias("t")).select("t.*")
+    told = told.groupBy("cls").agg(F.max(F.struct("inter", "r")).alias("t")).select("cls", F.col("t.r").alias("r"), F.col("t.inter").alias("inter"))
+
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
     label = lambda df: df.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
     members = label(sets.select("cls", "n", "prefix")).select("cls", "n", "label", F.explode("prefix").alias("sid"), block.alias("own")).withColumn("block", F.explode(F.array("own", F.col("own") - 1)))
     prints = members.groupBy("sid", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.col("cls"), F.lit(1))).alias("x")).where("low <> high")
     one = prints.groupBy("m", "s", "x").agg(F.min(F.struct("sid", "block")).alias("k")).select("k.sid", "k.block")
-    lists = stored(members.join(one, ["sid", "block"]).select(F.xxhash64("sid", "block").alias("list"), "cls", "n"), "lists")
+    lists = stored(members.join(one, ["sid", "block"]).select(F.xxhash64("sid", "block").alias("list"), "cls"), "lists")
+    traits = sets.select("cls", "n", (F.octet_length("sids") / 8).cast("long").alias("shared"), "bits").join(told, "cls", "left")
+    side = lambda x: [F.col(c).alias(f"{d}{x}") for c, d in (("cls", ""), ("n", "n"), ("label", "l"), ("inter", "i"), ("r", "r"), ("shared", "s"), ("bits", "m"))]
+    # what both share with r, and at most all that one has beside it; and the least by which the maps say that they differ
+    bound = F.least(F.col("ib") + F.col("na") - F.col("ia"), F.col("ia") + F.col("nb") - F.col("ib"))
+    differ = sum(F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(MAP))
+    far = F.coalesce((F.col("ra") == F.col("rb")) & ((100 + percent) * bound < need), F.lit(False)) | ((100 + percent) * (F.col("sa") + F.col("sb") - differ) < 2 * need)
     few = FEW
-
-    def main(rows: DataFrame) -> DataFrame:
-        """Lists of several components: the one with most members, and how many others there are."""
-        parts = rows.groupBy("list", "label").agg(F.count("*").alias("k")).groupBy("list")
-        return parts.agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("m")).where("top.k < m").select("list", F.col("top.label").alias("low"), (F.col("m") - F.col("top.k")).alias("outside"))
-
     while True:
-        open_ = lists.join(main(label(lists)).select("list", "low"), "list")
-        # every member meets the best-linked set of the list's main component: it joins that, or bounds what follows
-        degree = close(known).select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").count()
-        best = label(sets.select("cls", "n")).join(degree, "cls").groupBy("label").agg(F.max(F.struct("count", "cls", "n")).alias("r")).select(F.col("label").alias("low"), F.col("r.cls").alias("r"), F.col("r.n").alias("rn"))
-        open_ = stored(open_.join(best, "low", "left").select("list", "cls", "n", F.coalesce("r", "low").alias("r"), "rn"), "open-lists")
-        if open_.isEmpty():
+        labelled = label(lists)
+        parts = labelled.groupBy("list", "label").agg(F.count("*").alias("k"), F.max("cls").alias("c")).groupBy("list")
+        # the part with most members is the main one; the pivot is of the smallest
+        main = parts.agg(F.max(F.struct("k", "label")).alias("top"), F.min(F.struct("k", "label", "c")).alias("p"), F.sum("k").alias("m")).where("top.k < m").select("list", F.col("top.label").alias("low"), F.col("p.c").alias("pivot"), (F.col("m") - F.col("top.k")).alias("outside"))
+        rest = stored(labelled.join(main, "list"), "open-lists")
+        if rest.isEmpty():
             return comp
-        meet = open_.where("rn is not null and cls <> r").select(F.col("cls").alias("a"), F.col("r").alias("b"), F.col("n").alias("na"), F.col("rn").alias("nb")).where(near).select(*turned).distinct()
-        known = known.unionByName(_answers(meet.join(known.select("a", "b"), ["a", "b"], "left_anti"), sets))
-        comp = stored(components(close(known)), "components")
-        both = known.select(F.col("a").alias("cls"), F.col("b").alias("r"), "inter").unionByName(known.select(F.col("b").alias("cls"), F.col("a").alias("r"), "inter"))
-        labelled = label(open_).join(both, ["cls", "r"], "left").withColumn("inter", F.when(F.col("cls") == F.col("r"), F.col("n")).otherwise(F.col("inter"))).drop("r", "rn")
-        rest = labelled.join(main(labelled), "list")
-        pivot = rest.where("label <> low").groupBy("list").agg(F.max("cls").alias("pivot"))
-        rest = stored(rest.join(pivot, "list"), "outsiders")
         # outsiders of a list, or one of many, and the list's members that they may still overlap enough
-        side = lambda x: [F.col(c).alias(f"{d}{x}") for c, d in (("cls", ""), ("n", "n"), ("label", "l"), ("inter", "i"), ("shared", "s"), ("bits", "m"))]
-        rest = rest.join(sets.select("cls", (F.octet_length("sids") / 8).cast("long").alias("shared"), "bits"), "cls")
-        left = rest.where((F.col("outside") <= few) & (F.col("label") != F.col("low")) | (F.col("outside") > few) & (F.col("cls") == F.col("pivot"))).select("list", *side("a"))
-        # what one shares with r, and at most all that the other has beside r
-        bound = F.least(F.col("ib") + F.col("na") - F.col("ia"), F.col("ia") + F.col("nb") - F.col("ib"))
-        differ = sum(F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(MAP))
-        may = near & F.coalesce((100 + percent) * bound >= need, F.lit(True)) & ((100 + percent) * (F.col("sa") + F.col("sb") - differ) >= 2 * need)
-        pairs = left.join(rest.select("list", *side("b")), "list").where((F.col("la") != F.col("lb")) & may).select(*turned).distinct()
-        known = known.unionByName(_answers(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), sets))
-        comp = stored(components(close(known)), "components")
+        full = rest.join(traits, "cls")
+        left = full.where((F.col("outside") <= few) & (F.col("label") != F.col("low")) | (F.col("outside") > few) & (F.col("cls") == F.col("pivot"))).select("list", *side("a"))
+        pairs = left.join(full.select("list", *side("b")), "list").where((F.col("la") != F.col("lb")) & near & ~far).select(*turned).distinct()
+        answers = _answers(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), sets)
+        known = known.unionByName(answers)
+        if not close(answers).isEmpty():
+            comp = stored(components(close(known)), "components")
         # lists whose outsiders met all others are done; a pivot leaves its list
-        lists = rest.where((F.col("outside") > few) & (F.col("cls") != F.col("pivot"))).select("list", "cls", "n")
+        lists = rest.where((F.col("outside") > few) & (F.col("cls") != F.col("pivot"))).select("list", "cls")
         few *= 8
 
 
