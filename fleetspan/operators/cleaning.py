@@ -1,7 +1,7 @@
 """Cleaning a feature table: indicators, imputation, clipping, encoding, constants, and replay on new rows.
 
-A fit brings one small row of statistics to the driver (fills, bounds, level lists up to a stated
-cardinality); applying it is a plain projection.
+A fit brings one small row of statistics to the driver (fills, bounds, short level lists); applying it is a
+plain projection. The levels of wide columns stay a table in the shared folder and are joined.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
+from ..session import shared_folder
 from .aggregates import distinct_counts
-from .ordered import numbered
+from .ordered import numbered, text_ranges
 from .profile import column_roles, top_values
 from .quantiles import column_quantiles
 
-MAX_LEVELS = 5000  # categorical columns above this are dropped from features
+INLINE_LEVELS = 100  # longer level lists are joined as a table; the codes are the same
 
 
 def missing_indicators(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -53,6 +54,8 @@ def impute(df: DataFrame, fills: Mapping[str, object]) -> DataFrame:
 
 def fit_bounds(df: DataFrame, columns: Sequence[str], q: float, min_rows: int = 10) -> dict[str, tuple[float, float]]:
     """Two-sided quantile bounds; columns with fewer than ``min_rows`` values are left alone."""
+    if not columns:
+        return {}
     n = df.agg(*[F.count(c).alias(c) for c in columns]).first()
     rows = column_quantiles(df, columns, {"lo": q, "hi": 1 - q}).collect()
     return {r["column"]: (r["lo"], r["hi"]) for r in rows if n[r["column"]] >= min_rows}
@@ -63,37 +66,60 @@ def clip_quantiles(df: DataFrame, bounds: Mapping[str, tuple[float, float]]) ->
 
 
 def level_codes(df: DataFrame, c: str) -> DataFrame:
-    """Alphabetic codes 0..k-1 of a column's levels as a table, for any number of levels."""
-    levels = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("level")).distinct()
-    return numbered(levels, [], ["level"], F.substring("level", 1, 3), pos="code")
+    """Alphabetic codes 0..k-1 of a column's levels as a table, for any number of levels.
 
+    Levels are numbered in ranges cut by the levels themselves, so a common prefix puts no load on one task.
+    """
+    levels = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("level")).distinct()
+    ranged, bucket = text_ranges(levels, "level")
+    return numbered(ranged, [], ["level"], bucket, pos="code").select("level", "code")
 
-def fit_levels(df: DataFrame, columns: Sequence[str], limit: int = MAX_LEVELS) -> dict[str, list[str]]:
-    """Sorted levels of each column whose cardinality is at most ``limit``."""
-    few = {r["column"] for r in distinct_counts(df, columns).collect() if r["n_unique"] <= limit}
-    keep = [c for c in columns if c in few]
-    if not keep:
-        return {}
-    text = df.select(*[F.col(c).cast("string").alias(c) for c in keep]).unpivot([], keep, "column", "value")
-    rows = text.where(F.col("value").isNotNull()).distinct().groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("v")).collect()
-    return {r["column"]: list(r["v"]) for r in rows}
 
+def fit_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str] | dict[str, str]]:
+    """Sorted levels of each column with any value, whatever their number.
 
-def ordinal_encode(df: DataFrame, levels: Mapping[str, Sequence[str]], unknown: int = -1) -> DataFrame:
-    """Alphabetic codes; a level not seen in the fit gets ``unknown``."""
+    Up to ``INLINE_LEVELS`` of them are a list. More are a (level, code) table in the shared folder, for which
+    ``{"table": path}`` stands, so the record stays small enough to be saved as text.
+    """
+    sizes = {r["column"]: r["n_unique"] for r in distinct_counts(df, columns).collect()}
+    few = [c for c in columns if sizes.get(c, 0) <= INLINE_LEVELS]
+    levels: dict[str, list[str] | dict[str, str]] = {}
+    if few:
+        text = df.select(*[F.col(c).cast("string").alias(c) for c in few]).unpivot([], few, "column", "value")
+        rows = text.where(F.col("value").isNotNull()).distinct().groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("v")).collect()
+        levels |= {r["column"]: list(r["v"]) for r in rows}
+    for c in columns:
+        if c not in few:
+            path = shared_folder(df.sparkSession, "levels")
+            level_codes(df, c).write.parquet(path)
+            levels[c] = {"table": path}
+    return levels
+
+
+def ordinal_encode(df: DataFrame, levels: Mapping[str, Sequence[str] | Mapping[str, str]], unknown: int = -1) -> DataFrame:
+    """Alphabetic codes; a level not seen in the fit, and NULL, get ``unknown``."""
     made = {}
     for c, values in levels.items():
-        if c in df.columns:
+        if c not in df.columns:
+            continue
+        if isinstance(values, Mapping):
+            codes = df.sparkSession.read.parquet(values["table"]).select(F.col("level").alias("_level"), F.col("code").alias(f"_code_{c}"))
+            df = df.join(codes, F.col(c).cast("string") == F.col("_level"), "left").drop("_level")
+            made[c] = F.coalesce(F.col(f"_code_{c}"), F.lit(unknown)).cast("int")
+        else:
             at = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(c).cast("string"))
             made[c] = F.when(at > 0, at - 1).otherwise(F.lit(unknown)).cast("int")
-    return df.withColumns(made)
+    return df.withColumns(made).drop(*[f"_code_{c}" for c in made])
 
 
-def onehot_encode(df: DataFrame, levels: Mapping[str, Sequence[str]], max_card: int = 25) -> DataFrame:
-    """0/1 columns ``col_level`` for columns of few levels; the source column is dropped."""
-    low = {c: v for c, v in levels.items() if c in df.columns and len(v) <= max_card}
+def onehot_encode(df: DataFrame, levels: Mapping[str, Sequence[str] | Mapping[str, str]], max_card: int = 25) -> DataFrame:
+    """0/1 columns ``col_level`` for columns of up to ``max_card`` levels; the source column is dropped.
+
+    Wider columns get ordinal codes instead, so no text is left.
+    """
+    low = {c: v for c, v in levels.items() if c in df.columns and not isinstance(v, Mapping) and len(v) <= max_card}
     made = {f"{c}_{v}": F.coalesce((F.col(c).cast("string") == v).cast("tinyint"), F.lit(0).cast("tinyint")) for c, vs in low.items() for v in vs}
-    return df.withColumns(made).drop(*low)
+    return ordinal_encode(df.withColumns(made).drop(*low), {c: v for c, v in levels.items() if c not in low})
 
 
 def constant_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:

@@ -314,7 +314,7 @@ def _planar_cells(x: str, y: str, side: float) -> tuple[Column, Column]:
     return F.floor(F.col(x) / side).cast("long"), F.floor(F.col(y) / side).cast("long")
 
 
-def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int, max_rounds: int = 50) -> DataFrame:
+def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int) -> DataFrame:
     """Density clusters of points in the plane: (key, is_core, cluster), noise is -1, exact.
 
     Identical points are merged with their weight first. Cells have side eps / sqrt(2), so all points of a
@@ -344,7 +344,7 @@ def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int,
     links = a.join(b, ["nx", "ny"]).where(close).select(name("cx", "cy").alias("s"), name("nx", "ny").alias("t")).distinct()
     both = cut_lineage(links.unionByName(links.select(F.col("t").alias("s"), F.col("s").alias("t"))))
     labels = cut_lineage(cores.select(name("cx", "cy").alias("cell")).distinct().withColumn("label", F.col("cell")))
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so this ends
         near = both.join(labels, both["s"] == labels["cell"]).groupBy(F.col("t").alias("cell")).agg(F.min("label").alias("_l"))
         step = labels.join(near, "cell", "left").select("cell", F.least("label", F.coalesce("_l", "label")).alias("_m"))
         # jump: take the label of the label's own cell, which shortens long chains
@@ -354,8 +354,6 @@ def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int,
         labels = new
         if not changed:
             break
-    else:
-        raise RuntimeError(f"labels still change after {max_rounds} rounds")
     core_label = cores.select("px", "py", name("cx", "cy").alias("cell"), F.lit(True).alias("_core")).join(labels, "cell").select("px", "py", "_core", "label")
     # border points take the smallest cluster among close core points
     rim = tagged.join(cores.select("px", "py"), ["px", "py"], "left_anti")
@@ -364,9 +362,10 @@ def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int,
     border = r.join(c, ["nx", "ny"]).where(close).groupBy("px", "py").agg(F.min("label").alias("label")).select("px", "py", F.lit(False).alias("_core"), "label")
     known = core_label.unionByName(border)
     ids = labels.select("label").distinct()
-    from .ordered import numbered
+    from .ordered import numbered, text_ranges
 
-    numbers = numbered(ids, [], ["label"], F.substring("label", 1, 3), pos="cluster")
+    ranged, bucket = text_ranges(ids, "label")
+    numbers = numbered(ranged, [], ["label"], bucket, pos="cluster")
     named = known.join(numbers, "label").select("px", "py", "_core", "cluster")
     return df.join(named, (df[x] == named["px"]) & (df[y] == named["py"]), "left").select(
         df[key], F.coalesce("_core", F.lit(False)).alias("is_core"), F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))

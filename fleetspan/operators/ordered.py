@@ -5,8 +5,9 @@ site or customer holds a third of the table. The operators here use two building
 
 ``numbered``
     Splits each key into buckets that follow the order (a day, an hour, a value range), works inside
-    (key, bucket) and adds the totals of earlier buckets. Facts are shuffled once, on (key, bucket);
-    only the bucket totals, one row each, are ever brought together per key.
+    (key, bucket) and adds the totals of earlier buckets. Facts are shuffled once, on (key, bucket),
+    and keep that partitioning for the join with the totals; only the bucket totals, one row each, are
+    ever brought together per key.
 
 ``framed``
     Cuts a numbered key into blocks of ``block`` rows and copies the few rows near a block edge into
@@ -22,9 +23,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from ..functions.calendar import epoch_seconds
 from ..functions.scalars import col
+from ..session import cut_lineage
 
 DAY = 86400
 BLOCK_ROWS = 500_000
@@ -45,10 +48,22 @@ def value_bucket(df: DataFrame, value: str, parts: int = 128) -> tuple[DataFrame
     return df.withColumn("_bounds", bounds), F.size(F.filter("_bounds", lambda b: b < F.col(value)))
 
 
+def text_ranges(df: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """Order-preserving bucket of a column of any type, cut by its own values; the ranges are kept by a checkpoint."""
+    return cut_lineage(df.repartitionByRange(column).withColumn("_range", F.spark_partition_id())), F.col("_range")
+
+
 def _columns(order: Sequence) -> list[Column]:
     return [col(c) for c in order]
 
 
+def _stand_in(kind: DataType) -> Column:
+    """Any value of a type, to stand for NULL beside a flag that tells them apart."""
+    if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+        return F.lit("1970-01-01").cast(kind)
+    return F.lit(0).cast(kind) if isinstance(kind, (NumericType, BooleanType)) else F.lit("").cast(kind)
+
+
 def numbered(
     df: DataFrame,
     keys: Sequence[str],
@@ -68,11 +83,19 @@ def numbered(
     keys, running = list(keys), dict(running or {})
     buckets = [bucket] if isinstance(bucket, Column) else list(bucket)
     bnames = [f"_b{i}" for i in range(len(buckets))]
-    parts = keys + bnames
     base = df if keep_null or not keys else df.dropna(subset=keys)
     base = base.withColumns(
         {n: b for n, b in zip(bnames, buckets)} | {f"_v_{n}": col(c) for n, c in running.items()}
     )
+    # a bucket may be NULL (a missing time) and forms a leading one; flags and stand-ins let the join below match by
+    # plain equality, which keeps the partitioning of the window, and so the facts are not shuffled again
+    kind = {f.name: f.dataType for f in base.schema.fields}
+    nullable = [*bnames, *(keys if keep_null else [])]
+    flags, plain = {c: f"_f_{c}" for c in nullable}, {c: f"_p_{c}" for c in nullable}
+    base = base.withColumns({flags[c]: F.col(c).isNotNull() for c in nullable} | {plain[c]: F.coalesce(F.col(c), _stand_in(kind[c])) for c in nullable})
+    keys = [x for c in keys for x in ((flags[c], plain[c]) if keep_null else (c,))]
+    bnames = [x for c in bnames for x in (flags[c], plain[c])]
+    parts = keys + bnames
 
     totals = base.groupBy(*parts).agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in running]
@@ -93,11 +116,8 @@ def numbered(
         {"_rn": F.row_number().over(inside)}
         | {f"_r_{n}": F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)) for n in running}
     )
-    # bucket columns may be NULL (a missing time); such rows form one leading bucket
-    match = [local[c].eqNullSafe(carry[c]) for c in parts]
-    joined = local.join(carry, reduce(lambda a, b: a & b, match), "inner")
-    return joined.select(
-        *[local[c] for c in df.columns],
+    return local.join(carry, parts, "inner").select(
+        *df.columns,
         *([(F.col("_rn") - 1 + F.col("_n0")).alias(pos)] if pos else []),
         *([F.col("_size").alias(size)] if size else []),
         *[(F.col(f"_r_{n}") + F.col(f"_c_{n}")).alias(n) for n in running],

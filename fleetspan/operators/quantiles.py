@@ -43,7 +43,11 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Mapping[st
     )
     brackets = sketch.select(*keys, "_n", F.slice("_p", 1, m).alias("_lo"), F.slice("_p", m + 1, m).alias("_hi"))
 
-    rows = rows.join(brackets, keys, "inner")
+    if by:
+        rows = rows.join(brackets, keys, "inner")
+    else:  # one row, attached as a scalar: a join on a constant would be a cartesian product
+        one = brackets.select(F.struct("_n", "_lo", "_hi").alias("_b")).scalar()
+        rows = rows.withColumn("_b", one).select(*keys, "_v", "_b.*")
     v = F.col("_v")
     below, near = [], []
     for i in range(m):

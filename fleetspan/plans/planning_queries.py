@@ -133,11 +133,11 @@ def fleet_assignment_improvement(spark, sf):
 def zone_costs(spark, sf):
     demand = B.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("zone_id")).agg((F.count(F.lit(1)) / 10.0).alias("demand"))
     zones = customer_points(spark, sf).withColumnRenamed("customer_id", "zone_id").join(demand, "zone_id")
-    return PL.site_costs(zones, B.sites(spark, sf), 12)
+    return PL.site_costs(zones, B.sites(spark, sf))
 
 
 SITE_COST_SQL = f"""WITH {B.SQL_SITES}, {POINT_SQL}, zn AS (SELECT o_custkey AS zone_id, COUNT(*) / 10.0::DOUBLE AS demand, lat AS zlat, lon AS zlon FROM orders JOIN pts ON o_custkey = customer_id GROUP BY 1, 3, 4),
-  cand AS (SELECT * FROM sites ORDER BY site_id LIMIT 12), costs AS (SELECT zone_id, demand, site_id, fixed_cost, {haversine_sql('zlat', 'zlon', 'lat', 'lon')} AS km FROM zn, cand), cc AS (SELECT *, km * demand * 0.02::DOUBLE AS cost FROM costs)"""
+  cand AS (SELECT * FROM sites), costs AS (SELECT zone_id, demand, site_id, fixed_cost, {haversine_sql('zlat', 'zlon', 'lat', 'lon')} AS km FROM zn, cand), cc AS (SELECT *, km * demand * 0.02::DOUBLE AS cost FROM costs)"""
 
 
 @query("site_service_costs", SITE_COST_SQL + " SELECT site_id, COUNT(*) AS zones, ROUND(SUM(cost), 6) AS cost, ROUND(AVG(km), 6) AS avg_km FROM cc GROUP BY 1")
@@ -275,7 +275,7 @@ def map_route_lines(spark, sf):
     return lines.select("user_id", F.size("points").alias("points"), text.alias("line"))
 
 
-@query("map_last_positions", f"WITH {PING_SQL} SELECT user_id, arg_max(lat, (ts, event_id)) AS lat, arg_max(lon, (ts, event_id)) AS lon, arg_max(value, (ts, event_id)) AS value FROM pings GROUP BY 1 ORDER BY user_id LIMIT 300")
+@query("map_last_positions", f"WITH {PING_SQL} SELECT user_id, arg_max(lat, (ts, event_id)) AS lat, arg_max(lon, (ts, event_id)) AS lon, arg_max(value, (ts, event_id)) AS value FROM pings GROUP BY 1")
 def map_last_positions(spark, sf):
     return MA.last_positions(pings(spark, sf), "user_id", ["ts", "event_id"], ["lat", "lon", "value"])
 

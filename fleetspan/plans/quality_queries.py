@@ -297,16 +297,18 @@ def clipped_outliers(spark, sf):
     return C.clip_quantiles(e, C.fit_bounds(e, ["value"], 0.01))
 
 
-@query("ordinal_codes", "SELECT o_orderkey, (DENSE_RANK() OVER (ORDER BY o_orderpriority) - 1)::INTEGER AS o_orderpriority, (DENSE_RANK() OVER (ORDER BY o_orderstatus) - 1)::INTEGER AS o_orderstatus FROM orders")
+@query("ordinal_codes", """SELECT o_orderkey, (DENSE_RANK() OVER (ORDER BY o_orderpriority) - 1)::INTEGER AS o_orderpriority, (DENSE_RANK() OVER (ORDER BY o_orderstatus) - 1)::INTEGER AS o_orderstatus,
+  (DENSE_RANK() OVER (ORDER BY o_orderkey::VARCHAR) - 1)::INTEGER AS order_code FROM orders""")
 def ordinal_codes(spark, sf):
-    o = orders(spark, sf).select("o_orderkey", *CAT)
-    return C.ordinal_encode(o, C.fit_levels(o, CAT))
+    o = orders(spark, sf).select("o_orderkey", *CAT, F.col("o_orderkey").cast("string").alias("order_code"))
+    return C.ordinal_encode(o, C.fit_levels(o, [*CAT, "order_code"]))
 
 
-@query("onehot_codes", "SELECT o_orderkey, (o_orderstatus = 'F')::TINYINT AS o_orderstatus_F, (o_orderstatus = 'O')::TINYINT AS o_orderstatus_O, (o_orderstatus = 'P')::TINYINT AS o_orderstatus_P FROM orders")
+@query("onehot_codes", """SELECT o_orderkey, (o_orderstatus = 'F')::TINYINT AS o_orderstatus_F, (o_orderstatus = 'O')::TINYINT AS o_orderstatus_O, (o_orderstatus = 'P')::TINYINT AS o_orderstatus_P,
+  (DENSE_RANK() OVER (ORDER BY strftime(o_orderdate, '%Y-%m')) - 1)::INTEGER AS month, (DENSE_RANK() OVER (ORDER BY o_custkey::VARCHAR) - 1)::INTEGER AS customer FROM orders""")
 def onehot_codes(spark, sf):
-    o = orders(spark, sf).select("o_orderkey", "o_orderstatus")
-    return C.onehot_encode(o, C.fit_levels(o, ["o_orderstatus"]))
+    o = orders(spark, sf).select("o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_custkey").cast("string").alias("customer"))
+    return C.onehot_encode(o, C.fit_levels(o, ["o_orderstatus", "month", "customer"]))
 
 
 @query("constants_dropped", "SELECT event_id, value, nullif(value, 6.55) AS sparse FROM events")

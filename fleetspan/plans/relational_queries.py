@@ -209,11 +209,11 @@ def salted_lookup(spark, sf):
 
 
 @query("panel_floor_join", """WITH panel AS (SELECT event_type, date_trunc('day', ts) + INTERVAL (hour(ts) // 6 * 6) HOUR AS pts, AVG(CAST(value AS DECIMAL(18,4)))::DOUBLE AS v, SUM(CAST(value AS DECIMAL(18,4)))::DOUBLE / COUNT(value) AS avg_value
-   FROM events WHERE user_id < 100 GROUP BY 1, 2)
+   FROM events GROUP BY 1, 2)
   SELECT event_id, COALESCE(avg_value, 0.0) AS panel_value FROM events e LEFT JOIN panel p ON e.event_type = p.event_type AND date_trunc('day', e.ts) + INTERVAL (hour(e.ts) // 6 * 6) HOUR = p.pts""")
 def panel_floor_join(spark, sf):
     e = B.table(spark, sf, "events")
-    panel = e.where("user_id < 100").groupBy("event_type", cal.floor_time("ts", 6).alias("pts")).agg(S.exact_avg("value").alias("avg_value"))
+    panel = e.groupBy("event_type", cal.floor_time("ts", 6).alias("pts")).agg(S.exact_avg("value").alias("avg_value"))
     return J.grid_floor_join(e.select("event_id", "event_type", "ts"), panel, {"event_type": "event_type"}, "ts", "pts", 6, {"avg_value": ("panel_value", 0.0)}).select("event_id", "panel_value")
 
 
@@ -318,11 +318,13 @@ def route_runs(spark, sf):
 
 
 @query("run_distances", f"""{DELIV}, {RUN_SQL}, p AS (SELECT site_id, month, run_no, stop_sequence, (customer_id * 37 % 140 - 70)::DOUBLE AS lat, (customer_id * 91 % 360 - 180)::DOUBLE AS lon FROM runs)
-  SELECT a.site_id, a.month, a.run_no, a.stop_sequence AS stop_a, b.stop_sequence AS stop_b, ROUND({haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6) AS km
-  FROM p a JOIN p b ON a.site_id = b.site_id AND a.month = b.month AND a.run_no = b.run_no AND a.stop_sequence < b.stop_sequence""")
+  SELECT a.site_id, a.month, a.run_no, COUNT(*) AS pairs, ROUND(SUM({haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}), 4) AS total_km, ROUND(MAX({haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}), 6) AS longest_km
+  FROM p a JOIN p b ON a.site_id = b.site_id AND a.month = b.month AND a.run_no = b.run_no AND a.stop_sequence < b.stop_sequence GROUP BY 1, 2, 3""")
 def run_distances(spark, sf):
     stops = runs(spark, sf).select("site_id", "month", "run_no", "stop_sequence", *B.coordinates("customer_id"))
-    return J.run_distances(stops, ["site_id", "month", "run_no"], "stop_sequence", RUN_LEN).withColumn("km", F.round("km", 6))
+    run = ["site_id", "month", "run_no"]
+    legs = J.run_distances(stops, run, "stop_sequence", RUN_LEN)
+    return legs.groupBy(*run).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("km"), 4).alias("total_km"), F.round(F.max("km"), 6).alias("longest_km"))
 
 
 @query("cheapest_vehicle", f"""WITH {B.SQL_VEHICLES}, prof AS (SELECT capacity_kg AS capacity, refrigerated, rate_per_100km AS rate FROM vehicles GROUP BY 1, 2, 3),

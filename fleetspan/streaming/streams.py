@@ -6,23 +6,26 @@ and keeps the result as a table in the checkpoint folder, so nothing passes thro
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..session import ensure_checkpoint_dir
+from ..session import shared_folder
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream the parquet files of a folder whose names match ``name``."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    )
+    """Stream the parquet table ``name`` of a folder, be it one file or a folder of part files.
+
+    A single file is matched by its exact name, so a table whose name only begins alike stays out.
+    """
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def _as_instant(df: DataFrame, ts: str) -> DataFrame:
@@ -57,8 +60,7 @@ def activity_sessions(stream: DataFrame, key: str, ts: str, gap: str = "30 minut
 
 
 def work_folder(spark: SparkSession) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def run_to_table(result: DataFrame, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
