@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .store import stored
 
 PART_ROWS = 20_000  # orders loaded together
+SPECIAL = {"<|endoftext|>": 50256}  # fixed values: the special token of the vocabulary byte_bpe_50k
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -108,11 +109,11 @@ def load_orders(orders: DataFrame, units: str = "items_count", capacity: int = 2
         todo = out.where("_open").select(*kept)
 
 
-def token_pieces(records: DataFrame, key: str, text: str, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def token_pieces(records: DataFrame, key: str, text: str, vocabulary: str, capacity: int = 2048, end_id: int = 0, special: dict[str, int] = SPECIAL) -> DataFrame:
     """Pieces of tokenised texts: key, piece, start, length and the CRC-32 of the ids.
 
-    ``vocabulary`` is a rank file of the public byte-level BPE. A text is its ids and then ``end_id``; strings of special
-    tokens are ordinary text; null is empty. Texts of more than ``capacity`` ids are cut so that all pieces but the first
+    ``vocabulary`` is a rank file of the public byte-level BPE. A text is its ids and then ``end_id``; a string in
+    ``special`` is one token wherever it stands; null is empty. Texts of more than ``capacity`` ids are cut so that all pieces but the first
     are full.
     """
     held = records.sparkSession.sparkContext.broadcast(open(vocabulary, "rb").read())  # 1 MB, a fixed file
@@ -127,12 +128,12 @@ def token_pieces(records: DataFrame, key: str, text: str, vocabulary: str, capac
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, held.value.splitlines())}
-            cache.append(tiktoken.Encoding("records", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
+            cache.append(tiktoken.Encoding("records", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special))
         for b in batches:
             rows = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = t.as_py() or ""
-                ids = np.empty(0, np.uint32) if not t else cache[0].encode_to_numpy(t, disallowed_special=())
+                ids = np.empty(0, np.uint32) if not t else cache[0].encode_to_numpy(t, allowed_special="all")
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 first = len(ids) % capacity or capacity
                 bounds = [0, *range(first, len(ids) + 1, capacity)]
