@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,15 +26,45 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links of a partition as stars: each node with the smallest node that these links reach."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = above[y]
+            x = y
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch["u"].tolist(), batch["v"].tolist()):
+            u, v = top(u), top(v)
+            if u != v:
+                above[max(u, v)] = min(u, v)
+    rows = [(x, top(x)) for x in above]
+    yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["u", "v"])
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", edges_per_task: int = 200_000) -> DataFrame:
     """(node, component) for every node of an undirected link table; the component is its smallest node.
 
-    Alternates large-star and small-star contraction until the links stop changing; each round is linear in the
-    links, whatever the degree of a node, and is cut by a checkpoint.
+    Partitions first reduce their links to stars, so that a node stays at most once per partition; these stars are gathered
+    in tasks of about ``edges_per_task`` and reduced again. If that was one task, it is the answer. Otherwise large-star and
+    small-star contraction alternate until the links stop changing; each round is linear in the links, whatever the degree
+    of a node, and is cut by a checkpoint.
     """
+    stars = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").mapInPandas(_forest, "u long, v long"), "stars")
+    tasks = 1 + stars.count() // edges_per_task
+    edges = stored(stars.coalesce(tasks).mapInPandas(_forest, "u long, v long"), "stars")
+    if tasks > 1:
+        edges = _contracted(edges, edges_per_task)
+    roots = edges.select(F.col("v").alias("node")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def _contracted(edges: DataFrame, edges_per_task: int) -> DataFrame:
     # few links need few tasks, and so few shuffle files
-    cut = lambda df: (kept := cut_lineage(df)).coalesce(1 + kept.count() // 50_000)
-    edges = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    cut = lambda df: (kept := cut_lineage(df)).coalesce(1 + kept.count() // edges_per_task)
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -44,7 +76,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
-            break
+            return edges
         seen = state
-    roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
