@@ -204,9 +204,9 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     and hash. Then index lists hold the sets whose prefix has a shingle, cut into blocks by set size: sizes of linked sets
     differ by the threshold at most, so only neighbouring blocks meet. A list whose members are in one component is skipped,
     and lists with the same members are one. In the others, members outside the main part are compared with all, or, if they
-    are many, one of them is, until none is left. Answers are derived where they can be: the overlaps of two sets with one that
-    is highly similar to either bound their own, and bit maps bound how much two sets differ; pairs below the threshold
-    by such a bound are not read. So every pair that may link is compared, derived, or already joined by others.
+    are many, one of them is, until none is left. Answers are derived where they can be: such a set is compared with the few
+    heads that the list's members are highly similar to, and its overlap with a head and theirs bound its overlap with each
+    of them; bit maps bound how much two sets differ; pairs below the threshold by such a bound are not read. So every pair that may link is compared, derived, or already joined by others.
     """
     need = percent * (F.col("na") + F.col("nb"))  # of (100 + percent) times the overlap
     close = lambda known: known.where((100 + percent) * F.col("inter") >= need).select("a", "b")
@@ -229,11 +229,11 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     one = prints.groupBy("m", "s", "x").agg(F.min(F.struct("sid", "block")).alias("k")).select("k.sid", "k.block")
     lists = stored(members.join(one, ["sid", "block"]).select(F.xxhash64("sid", "block").alias("list"), "cls"), "lists")
     traits = sets.select("cls", "n", (F.octet_length("sids") / 8).cast("long").alias("shared"), "bits").join(told, "cls", "left")
-    side = lambda x: [F.col(c).alias(f"{d}{x}") for c, d in (("cls", ""), ("n", "n"), ("label", "l"), ("inter", "i"), ("r", "r"), ("shared", "s"), ("bits", "m"))]
-    # what both share with r, and at most all that one has beside it; and the least by which the maps say that they differ
-    bound = F.least(F.col("ib") + F.col("na") - F.col("ia"), F.col("ia") + F.col("nb") - F.col("ib"))
+    side = lambda x: [F.col(c).alias(f"{d}{x}") for c, d in (("cls", ""), ("n", "n"), ("label", "l"), ("inter", "i"), ("shared", "s"), ("bits", "m"))]
+    # what two sets share within the head and beside it, at most; and the least by which the maps say that they differ
+    bound = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     differ = sum(F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(MAP))
-    far = F.coalesce((F.col("ra") == F.col("rb")) & ((100 + percent) * bound < need), F.lit(False)) | ((100 + percent) * (F.col("sa") + F.col("sb") - differ) < 2 * need)
+    far = F.coalesce((100 + percent) * bound < need, F.lit(False)) | ((100 + percent) * (F.col("sa") + F.col("sb") - differ) < 2 * need)
     few = FEW
     while True:
         labelled = label(lists)
@@ -245,8 +245,19 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
             return comp
         # outsiders of a list, or one of many, and the list's members that they may still overlap enough
         full = rest.join(traits, "cls")
-        left = full.where((F.col("outside") <= few) & (F.col("label") != F.col("low")) | (F.col("outside") > few) & (F.col("cls") == F.col("pivot"))).select("list", *side("a"))
-        pairs = left.join(full.select("list", *side("b")), "list").where((F.col("la") != F.col("lb")) & near & ~far).select(*turned).distinct()
+        left = full.where((F.col("outside") <= few) & (F.col("label") != F.col("low")) | (F.col("outside") > few) & (F.col("cls") == F.col("pivot"))).drop("r", "inter")
+        # they meet the heads of the members first: one answer for all members that are like a head
+        met = stored(left.join(full.select("list", "r").distinct(), "list"), "met-heads")
+        heads = met.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("r").alias("b")).where("a <> b").distinct().join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b").select(*turned).distinct()
+        answers = _answers(heads.join(known.select("a", "b"), ["a", "b"], "left_anti"), sets)
+        known = known.unionByName(answers)
+        if not close(answers).isEmpty():
+            comp = stored(components(close(known)), "components")
+            continue  # some lists may be settled by that
+        both = known.select("inter", F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("b").alias("r")), F.struct(F.col("b").alias("cls"), F.col("a").alias("r")))).alias("t")).select("t.*", "inter")
+        left = met.join(both, ["cls", "r"], "left").withColumn("inter", F.when(F.col("cls") == F.col("r"), F.col("n")).otherwise(F.col("inter")))
+        sides = left.select("list", F.col("r").alias("ra"), *side("a")).join(full.select(F.col("list").alias("other"), F.col("r").alias("rb"), *side("b")), (F.col("list") == F.col("other")) & F.col("ra").eqNullSafe(F.col("rb")) & (F.col("la") != F.col("lb")) & near & ~far)
+        pairs = sides.select(*turned).distinct()
         answers = _answers(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), sets)
         known = known.unionByName(answers)
         if not close(answers).isEmpty():
