@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packing import pack, steps, unpack, unsteps
@@ -219,8 +219,8 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     comp = stored(components(close(known)), "components")
 
     # each set's overlap with the head it shares most with
-    told = known.select(F.explode(F.array(F.struct(F.col("b").alias("cls"), F.col("a").alias("r"), "inter"), F.struct(F.col("a").alias("cls"), F.col("a").alias("r"), F.col("na").alias("inter")))).alias("t")).select("t.*")
-    told = told.groupBy("cls").agg(F.max(F.struct("inter", "r")).alias("t")).select("cls", F.col("t.r").alias("r"), F.col("t.inter").alias("inter"))
+    told = known.select(F.explode(F.array(F.struct(F.col("b").alias("cls"), F.col("a").alias("r"), "inter", F.col("na").alias("nr")), F.struct(F.col("a").alias("cls"), F.col("a").alias("r"), F.col("na").alias("inter"), F.col("na").alias("nr")))).alias("t")).select("t.*")
+    told = told.groupBy("cls").agg(F.max(F.struct("inter", "r", "nr")).alias("t")).select("cls", "t.*")
 
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
     label = lambda df: df.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
@@ -234,6 +234,9 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     bound = F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     differ = sum(F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(MAP))
     far = F.coalesce((100 + percent) * bound < need, F.lit(False)) | ((100 + percent) * (F.col("sa") + F.col("sb") - differ) < 2 * need)
+    like = lambda x: (100 + percent) * F.col(f"i{x}") >= percent * (F.col(f"n{x}") + F.col("nr"))
+    by_head = F.coalesce(like("a") & like("b"), F.lit(False))  # both link to the head, so they are joined already
+    like_head = (100 + percent) * F.col("inter") >= percent * (F.col("n") + F.col("nr"))
     few = FEW
     while True:
         labelled = label(lists)
@@ -245,22 +248,23 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
             return comp
         # outsiders of a list, or one of many, and the list's members that they may still overlap enough
         full = rest.join(traits, "cls")
-        left = full.where((F.col("outside") <= few) & (F.col("label") != F.col("low")) | (F.col("outside") > few) & (F.col("cls") == F.col("pivot"))).drop("r", "inter")
+        left = full.where((F.col("outside") <= few) & (F.col("label") != F.col("low")) | (F.col("outside") > few) & (F.col("cls") == F.col("pivot"))).drop("r", "inter", "nr")
         # they meet the heads of the members first: one answer for all members that are like a head
-        met = stored(left.join(full.select("list", "r").distinct(), "list"), "met-heads")
-        heads = met.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("r").alias("b")).where("a <> b").distinct().join(sets.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b").select(*turned).distinct()
-        answers = _answers(heads.join(known.select("a", "b"), ["a", "b"], "left_anti"), sets)
-        known = known.unionByName(answers)
-        if not close(answers).isEmpty():
-            comp = stored(components(close(known)), "components")
-            continue  # some lists may be settled by that
+        met = stored(left.join(full.select("list", "r", "nr").distinct(), "list"), "met-heads")
+        heads = met.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("r").alias("b"), F.col("nr").alias("nb")).where("a <> b").select(*turned).distinct()
+        told_now = _answers(heads.join(known.select("a", "b"), ["a", "b"], "left_anti"), sets)
+        known = known.unionByName(told_now)
         both = known.select("inter", F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("b").alias("r")), F.struct(F.col("b").alias("cls"), F.col("a").alias("r")))).alias("t")).select("t.*", "inter")
         left = met.join(both, ["cls", "r"], "left").withColumn("inter", F.when(F.col("cls") == F.col("r"), F.col("n")).otherwise(F.col("inter")))
-        sides = left.select("list", F.col("r").alias("ra"), *side("a")).join(full.select(F.col("list").alias("other"), F.col("r").alias("rb"), *side("b")), (F.col("list") == F.col("other")) & F.col("ra").eqNullSafe(F.col("rb")) & (F.col("la") != F.col("lb")) & near & ~far)
+        # a set that links to a head in the main part need not meet the main part
+        head_label = comp.select(F.col("node").alias("r"), F.col("component").alias("lr"))
+        into_main = like_head & (F.coalesce("lr", "r") == F.col("low"))
+        left = left.join(head_label, "r", "left").withColumn("in_main", F.coalesce(F.max(into_main).over(Window.partitionBy("list", "cls")), F.lit(False)))
+        sides = left.select("list", "low", "in_main", F.col("r").alias("ra"), "nr", *side("a")).join(full.select(F.col("list").alias("other"), F.col("r").alias("rb"), *side("b")), (F.col("list") == F.col("other")) & F.col("ra").eqNullSafe(F.col("rb")) & (F.col("la") != F.col("lb")) & ~(F.col("in_main") & (F.col("lb") == F.col("low"))) & near & ~far & ~by_head)
         pairs = sides.select(*turned).distinct()
         answers = _answers(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), sets)
         known = known.unionByName(answers)
-        if not close(answers).isEmpty():
+        if not close(told_now.unionByName(answers)).isEmpty():
             comp = stored(components(close(known)), "components")
         # lists whose outsiders met all others are done; a pivot leaves its list
         lists = rest.where((F.col("outside") > few) & (F.col("cls") != F.col("pivot"))).select("list", "cls")
