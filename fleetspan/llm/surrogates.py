@@ -28,6 +28,7 @@ _MARK = re.compile(r"@|[0-9][0-9 .()-]{5}|\+[0-9]|[A-Z]{2}[0-9]{2}|(?:M[rs]|Miss
 KINDS = tuple(kind for kind, _ in PATTERNS)
 # fixed values: letters whose exchange keeps a name speakable and its gendered ending, by script
 _LETTERS = {"LATIN": ("aeiou", "bcdfghjklmnpqrstvwxyz"), "CYRILLIC": ("аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"), "GREEK": ("αεηιουω", "βγδζθκλμνξπρστφχψ")}
+IN_SHAPE, DRAWS = 128, 64  # candidates within an entity's shape before longer ones; candidates drawn at once at most
 _CLASS = {letter: (group, group.index(letter)) for groups in _LETTERS.values() for group in groups for letter in group}
 
 
@@ -127,12 +128,36 @@ def _shape(text: str) -> str:
     return "".join("0" if c in "0123456789" else f"<{_CLASS[c.lower()][0][0]}{c.isupper():d}>" if c.lower() in _CLASS else c if "CJK" not in unicodedata.name(c, "") else "C" for c in text)
 
 
+def _widened(kind: str, text: str, extra: int) -> str:
+    """A longer text for an entity whose shape has no room, with ``extra`` symbols more; distinct texts of a shape stay distinct."""
+    if kind == "email":
+        return "a" * extra + text
+    if kind == "name":  # before the ending letter
+        return text[:-1] + "a" * extra + text[-1:]
+    return text + "0" * extra
+
+
+def _draw(kind: str, text: str, key: bytes, step: int) -> str:
+    key = key if step == 1 else hashlib.sha256(key + b" %d" % step).digest()
+    extra = 1 + (step - IN_SHAPE - 1) // DRAWS if step > IN_SHAPE else 0
+    made = _once(kind, text, key)
+    if not extra and step > 1 and made == text and all(_once(kind, text, b"%d" % i) == text for i in range(8)):
+        extra = 1 + step // DRAWS  # a shape without choices
+    if not extra or kind in ("card", "iban"):  # their shapes, of 10^11 values or more, always have room
+        return made
+    if kind == "ip":
+        return ".".join(map(str, _permuted([int(x) for x in text.split(".")], [256] * 4, key, "ip")))
+    return _once(kind, _widened(kind, text, extra), key)
+
+
 @lru_cache(1 << 16)
 def surrogate(kind: str, text: str, key: str, steps: int = 1) -> str:
-    """The keyed surrogate of an entity; a permutation of all texts of its shape, applied ``steps`` times."""
-    for _ in range(steps):
-        text = _once(kind, text, key.encode())
-    return text
+    """The ``steps``-th candidate for the keyed surrogate of an entity.
+
+    Up to ``IN_SHAPE`` each number has its own keyed permutation of all texts of a shape, so candidates of one number are
+    distinct; later ones are of ever longer shapes.
+    """
+    return _draw(kind, text, key.encode(), steps)
 
 
 def entities(text: str | None):
@@ -178,23 +203,28 @@ def _steps(key: str):
 def surrogate_map(customers: DataFrame, text: str | Column = "address", key: str = "fleet") -> DataFrame:
     """(kind, entity, steps, surrogate) for every distinct entity, with collisions resolved.
 
-    A surrogate is a keyed permutation of the entity within its shape, so distinct entities never share one. Where it would
-    be another real entity of the table, the permutation is applied again until it is not; that keeps distinctness.
+    The first candidate is a keyed permutation of the entity within its shape, so distinct entities never share one. An entity
+    whose candidate is real draws further ones by other permutations, until one is neither a real entity nor given already;
+    of entities that draw the same, the least has it. Where a shape has no room, candidates become longer.
     """
     col = F.col(text) if isinstance(text, str) else text
     found = customers.select(F.explode(entities_of(col)).alias("e")).select("e.kind", "e.entity").distinct()
     known = stored(found, "entities")
-    todo, done = known.withColumn("steps", F.lit(1)), None
-    while True:
-        made = stored(todo.withColumn("surrogate", _steps(key)("kind", "entity", "steps")), "surrogates")
-        real = known.select(F.col("kind"), F.col("entity").alias("surrogate"))
-        clear = made.join(real, ["kind", "surrogate"], "left_anti").select(*made.columns)
-        done = clear if done is None else done.unionByName(clear)
-        taken = made.join(real, ["kind", "surrogate"], "left_semi").select(*made.columns)
-        # an entity whose whole shape is real (a cycle of real entities) keeps another's form
-        if taken.where("steps < 1000").isEmpty():
-            return done.unionByName(taken)
-        todo = taken.select("kind", "entity", (F.col("steps") + 1).alias("steps"))
+    real = known.select("kind", F.col("entity").alias("surrogate"))
+    drawn = lambda rows: rows.withColumn("surrogate", _steps(key)("kind", "entity", "steps"))
+    made = stored(drawn(known.withColumn("steps", F.lit(1))).join(real.withColumn("taken", F.lit(True)), ["kind", "surrogate"], "left"), "surrogates")
+    done = made.where("taken is null").select("kind", "entity", "steps", "surrogate")
+    todo, first, width = made.where("taken").select("kind", "entity"), 2, 1
+    while not todo.isEmpty():
+        draws = drawn(todo.withColumn("steps", F.explode(F.sequence(F.lit(first), F.lit(first + width - 1)))))
+        free = draws.join(real, ["kind", "surrogate"], "left_anti").join(done, ["kind", "surrogate"], "left_anti")
+        won = free.groupBy("kind", "surrogate").agg(F.min(F.struct("entity", "steps")).alias("w")).select("kind", "w.*", "surrogate")
+        given = won.groupBy("kind", "entity").agg(F.min(F.struct("steps", "surrogate")).alias("g")).select("kind", "entity", "g.*")
+        given = stored(given, "surrogates")
+        done = done.unionByName(given)
+        todo = stored(todo.join(given, ["kind", "entity"], "left_anti"), "entities")
+        first, width = first + width, min(2 * width, DRAWS)
+    return done
 
 
 def replace_entities(customers: DataFrame, address: str = "address", key: str = "fleet", as_column: str = "surrogates") -> DataFrame:

@@ -285,6 +285,18 @@ def test_surrogates_keep_format_distinctness_and_coreference(spark, none):
     assert surrogates.replace_entities(none).count() == 0
 
 
+def test_surrogates_stay_distinct_where_a_shape_is_dense(spark):
+    # a third of all addresses of short octets is real, and all of the five one-vowel addresses of a provider are
+    rng = np.random.default_rng(15)
+    real = {".".join(f"{k:04d}") for k in rng.permutation(10_000)[:3333]} | {f"{c}@mail.com" for c in "aeiou"} | {"Dr Li", "Dr Bo"}
+    rows = spark.createDataFrame([(i, f"see {x} now") for i, x in enumerate(sorted(real))], "customer_id long, address string")
+    made = {r["entity"]: r["surrogate"] for r in surrogates.surrogate_map(rows).collect()}
+    assert set(made) == real and len(set(made.values())) == len(real) and not real & set(made.values())
+    assert all(re.fullmatch(r"(\d\.){3}\d", v) for k, v in made.items() if k[0].isdigit()) and all(v.endswith("@mail.com") for k, v in made.items() if "@" in k)
+    out = {r["address"]: r["surrogates"]["text"] for r in surrogates.replace_entities(rows).collect()}
+    assert out == {f"see {k} now": f"see {v} now" for k, v in made.items()}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
