@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .store import stored
 
+# letters with the marks that many scripts write on or after them
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x1E95B)) if unicodedata.category(c) in ("Mn", "Mc") and not 0xFE00 <= ord(c) <= 0xFE0F)
+_WORD = rf"(?:[^\W\d_]|[{_MARKS}])+"
 # fixed values: how each kind of personal data is written
 PATTERNS = (
     ("email", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
@@ -21,13 +24,14 @@ PATTERNS = (
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("card", r"(?<![0-9])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"),
     ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"),
-    ("name", r"(?<![^\W\d_])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Г-н|Г-жа)\.? +(?:[^\W\d_a-z][^\W\d_]+(?:[-'’][^\W\d_]+)?)(?: [^\W\d_a-z][^\W\d_]+(?:[-'’][^\W\d_]+)?){0,2}"),
+    ("name", r"(?<![^\W\d_])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Г-н|Г-жа)\.? +" + rf"(?:[^\W\d_a-z]{_WORD}(?:[-'’]{_WORD})?)(?: [^\W\d_a-z]{_WORD}(?:[-'’]{_WORD})?){{0,2}}"),
 )
 _ALL = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS))
 _MARK = re.compile(r"@|[0-9][0-9 .()-]{5}|\+[0-9]|[A-Z]{2}[0-9]{2}|(?:M[rs]|Miss|Dr|Prof|Herr|Frau|Mon|Mad|Mme|Se|Sr|Г)")
 KINDS = tuple(kind for kind, _ in PATTERNS)
 # fixed values: letters whose exchange keeps a name speakable and its gendered ending, by script
 _LETTERS = {"LATIN": ("aeiou", "bcdfghjklmnpqrstvwxyz"), "CYRILLIC": ("аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"), "GREEK": ("αεηιουω", "βγδζθκλμνξπρστφχψ")}
+_LARGE = ((0xAC00, 0xD7A4), (0x4E00, 0x9FA6))  # fixed values: code points of Hangul syllables and of the common ideographs
 IN_SHAPE, DRAWS = 128, 64  # candidates within an entity's shape before longer ones; candidates drawn at once at most
 _CLASS = {letter: (group, group.index(letter)) for groups in _LETTERS.values() for group in groups for letter in group}
 
@@ -55,6 +59,38 @@ def _permuted(values: list[int], radices: list[int], key: bytes, tweak: str) ->
     return left + right
 
 
+def _plain(c: str) -> bool:
+    return c.lower() in _CLASS and c in (c.lower(), c.lower().upper())
+
+
+@lru_cache(1 << 16)
+def _letter(c: str) -> tuple[str, int] | None:
+    """The alphabet in which a letter may change, and its place there; None for all that is no letter.
+
+    Letters of every script have one: Hangul syllables and common ideographs as a whole, others the letters of their
+    script and case within 128 code points.
+    """
+    if _plain(c):
+        group, at = _CLASS[c.lower()]
+        return (group.upper() if c != c.lower() else group), at
+    if not c.isalpha():
+        return None
+    for start, end in _LARGE:
+        if start <= ord(c) < end:
+            return _alphabet(start, end, "", ""), ord(c) - start
+    start = ord(c) & ~127
+    letters = _alphabet(start, start + 128, unicodedata.category(c), unicodedata.name(c, "").split(" ")[0])
+    return letters, letters.index(c)
+
+
+@lru_cache(None)
+def _alphabet(start: int, end: int, category: str, script: str) -> str:
+    letters = map(chr, range(start, end))
+    if not category:
+        return "".join(letters)
+    return "".join(c for c in letters if unicodedata.category(c) == category and unicodedata.name(c, "").split(" ")[0] == script and not _plain(c))
+
+
 def _symbols(text: str, keep: set[int], letters: bool = True) -> list[tuple[int, str, int]]:
     """(position, alphabet, value) of the characters that may change."""
     out = []
@@ -63,25 +99,19 @@ def _symbols(text: str, keep: set[int], letters: bool = True) -> list[tuple[int,
             continue
         if c in "0123456789":
             out.append((i, "0123456789", int(c)))
-        elif letters:
-            low = c.lower()
-            base = low if low in _CLASS else unicodedata.normalize("NFD", low)[0]
-            if base == low and low in _CLASS:
-                group, at = _CLASS[low]
-                out.append((i, group.upper() if c != low else group, at))
-            elif c.isalpha() and "CJK" in unicodedata.name(c, ""):
-                out.append((i, "CJK", ord(c) - 0x4E00) if 0x4E00 <= ord(c) < 0x9FA6 else (i, c, 0))
+        elif letters and (found := _letter(c)):
+            out.append((i, *found))
     return out
 
 
 def _rewrite(text: str, found: list[tuple[int, str, int]], key: bytes, tweak: str, radices: dict[int, tuple[int, int]] | None = None) -> str:
     radices = radices or {}
     low = [radices.get(i, (0, 0))[0] for i, _, _ in found]
-    size = [radices[i][1] if i in radices else 0x51A6 if a == "CJK" else len(a) for i, a, _ in found]
+    size = [radices[i][1] if i in radices else len(a) for i, a, _ in found]
     new = _permuted([v - b for (_, _, v), b in zip(found, low)], size, key, tweak)
     out = list(text)
     for (i, alphabet, _), v, b in zip(found, new, low):
-        out[i] = chr(0x4E00 + v + b) if alphabet == "CJK" else alphabet[v + b]
+        out[i] = alphabet[v + b]
     return "".join(out)
 
 
@@ -125,7 +155,7 @@ def _once(kind: str, text: str, key: bytes) -> str:
 
 def _shape(text: str) -> str:
     """What a surrogate keeps of a text: each letter's alphabet, case, and all else."""
-    return "".join("0" if c in "0123456789" else f"<{_CLASS[c.lower()][0][0]}{c.isupper():d}>" if c.lower() in _CLASS else c if "CJK" not in unicodedata.name(c, "") else "C" for c in text)
+    return "".join("0" if c in "0123456789" else f"<{found[0][0]}>" if (found := _letter(c)) else c for c in text)
 
 
 def _widened(kind: str, text: str, extra: int) -> str:

@@ -297,6 +297,20 @@ def test_surrogates_stay_distinct_where_a_shape_is_dense(spark):
     assert out == {f"see {k} now": f"see {v} now" for k, v in made.items()}
 
 
+def test_names_of_every_script_have_surrogates(spark):
+    names = ["Dr 김민수", "Mr サトウ", "Mrs すずき", "Dr محمد", "Dr דוד", "Mr สมชาย", "Dr हिन्दी", "Dr Éé", "Dr 王小明", "Prof Αννα", "Dr Արամ", "Mr 김"]
+    rows = spark.createDataFrame([(i, f"{x}, seen") for i, x in enumerate(names)], "customer_id long, address string")
+    out = {r["customer_id"]: r["surrogates"] for r in surrogates.replace_entities(rows).collect()}
+    texts = [out[i]["text"] for i in range(len(names))]
+    assert [out[i]["n_name"] for i in range(len(names))] == [1] * 11 + [0]  # a single letter is no name
+    assert len(set(texts)) == len(names) and not any(t == f"{x}, seen" for t, x in zip(texts[:11], names))
+    assert all(len(t) == len(x) + 6 and t.split(" ")[0] == x.split(" ")[0] for t, x in zip(texts, names))
+    for x in names[:11]:  # a permutation within script and length
+        assert surrogates._shape(surrogates.surrogate("name", x, "k")) == surrogates._shape(x)
+    assert len({surrogates.surrogate("name", f"Dr 김{chr(c)}수", "k") for c in range(0xAC00, 0xB000)}) == 1024
+    assert surrogates.surrogate("name", "Dr ߷߷߷", "k", 2) != "Dr ߷߷߷"  # nothing that may change
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
