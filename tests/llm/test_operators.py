@@ -266,6 +266,29 @@ def test_passages(customers, none):
     assert pairs[frozenset((11, 12))]["matched"] == 60 and passages.repeated_passages(none).count() == 0
 
 
+def test_passages_with_changes_near_their_ends(spark):
+    rng, rows = np.random.default_rng(16), []
+    for k in range(60):
+        shared = line(30_000 + k, 58).split()
+        other = list(shared)
+        other[12], other[45] = "changed", "too"
+        if k % 3 == 0:  # a word left out, another added
+            del other[30]
+            other.insert(20, "more")
+        rows += [(2 * k, " ".join([line(40_000 + k, 30), *shared, line(50_000 + k, 30)])), (2 * k + 1, " ".join([line(60_000 + k, 30), *other, line(70_000 + k, 30)]))]
+    long = line(80_000, 1500)  # 1,500 words of which a third text has the first 1,400
+    rows += [(1000, long + " " + line(1, 40)), (1001, line(2, 40) + " " + long), (1002, " ".join(long.split()[:1400]) + " " + line(3, 40))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "customer_id long, address string")).collect()
+    pairs = {frozenset((r["customer_id"], r["other_id"])) for r in got}
+    assert {frozenset((2 * k, 2 * k + 1)) for k in range(60)} <= pairs
+    assert max(r["matched"] for r in got if {r["customer_id"], r["other_id"]} == {1000, 1001}) == 1500
+    for _ in range(20):  # ends against the best of all alignments
+        p = rng.integers(0, 50, 90).astype(np.uint32)
+        q = np.concatenate([p[:25], rng.integers(50, 60, 2).astype(np.uint32), p[26:60], rng.integers(100, 200, 40).astype(np.uint32)])
+        x, y, matched, _ = passages.grown(p, q, 50, 0.8)
+        assert (x, y) == (60, 61) and matched == 59
+
+
 def test_surrogates_keep_format_distinctness_and_coreference(spark, none):
     people = ["jo.smith7@mail5.example.com", "+1 (476) 555-7600", "192.168.7.41", "4111 1111 1111 1111", "Mrs Anna Petrova", "Г-н Иван Петров", "123-45-6789", "GB29 NWBK 6016 1331 9268 19"]
     text = "Call " + " or ".join(people) + " now."
