@@ -266,6 +266,18 @@ def test_passages(customers, none):
     assert pairs[frozenset((11, 12))]["matched"] == 60 and passages.repeated_passages(none).count() == 0
 
 
+def test_passages_where_a_third_text_takes_the_seeds(spark):
+    rows, want = [], set()
+    for k in range(60):
+        own, shared = [line(10_000 + 10 * k + j, 60) for j in range(5)], line(20_000 + k, 60).split()
+        # two hold 60 words, a third holds the first 40 of them; one quotes part of the passage before it
+        texts = [own[0] + " " + " ".join(shared) + " " + own[3], (" ".join(shared[10:30]) + " " if k % 2 else "") + own[1] + " " + " ".join(shared), own[2] + " " + " ".join(shared[:40]) + " " + own[4]]
+        rows += [(10 * k + i, t) for i, t in enumerate(texts)]
+        want.add((10 * k, 10 * k + 1))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "customer_id long, address string")).where("matched >= 60").collect()
+    assert {tuple(sorted((r["customer_id"], r["other_id"]))) for r in got} == want
+
+
 def test_passages_with_changes_near_their_ends(spark):
     rng, rows = np.random.default_rng(16), []
     for k in range(60):
