@@ -97,4 +97,30 @@ g AS (SELECT *, array_to_string(list_transform(range(8), lambda i: ('0x' || hex[
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to, true AS intact FROM g
 """
 
-SQL = {"op1_repetition": _OP1, "op3_ngram_join": _OP3, "op4_secret_ledger": _op4(), "op6_leaked_items": _OP6, "op7_warc_chunks": _OP7}
+_OP11 = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS name FROM conversations),
+d AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_transform(name, lambda x: ord(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) % 20 AS kind FROM k, tab),
+v AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d),
+r AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open FROM v),
+f AS (SELECT *, again AND NOT blank AS duplicate, open AND NOT blank AND NOT again AS truncated, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS two FROM r),
+g AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+next AS (SELECT * FROM (VALUES (0, 2), (1, 2), (3, 2), (2, 3)) x(s, h)),
+pre AS (SELECT s, s AS h, 0 AS paid, '' AS pre FROM range(4) y(s) UNION ALL SELECT s, h, 3, 'I' FROM next),
+ways AS (SELECT h, h AS z, 'D' AS letter, 4 AS paid, NULL::VARCHAR AS initial FROM range(4) y(h) UNION ALL SELECT s, h, 'R', 3, NULL::VARCHAR FROM next
+         UNION ALL SELECT h, z, 'K', 0, initial FROM (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a')) x(h, z, initial)),
+edge AS (SELECT s, z, pre || letter AS letters, pre, letter, h, pre.paid + ways.paid AS paid, initial FROM pre JOIN ways USING (h)),
+walk(conv_id, i, s, best) AS (
+  SELECT conv_id, 0::BIGINT, 0::BIGINT, {'cost': 0::BIGINT, 'audit': '', 'said': []::VARCHAR[]} FROM g
+  UNION ALL
+  SELECT w.conv_id, f.i, e.z::BIGINT, min({'cost': w.best.cost + e.paid + CASE WHEN f.truncated AND letter <> 'D' THEN 3 ELSE 0 END, 'audit': w.best.audit || e.letters,
+    'said': w.best.said || CASE WHEN e.pre = 'I' THEN [CASE e.h WHEN 2 THEN 'user:' ELSE 'assistant:' END] ELSE [] END || CASE e.letter WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE e.z WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text] END})
+  FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN edge e ON e.s = w.s AND (e.letter = 'D' OR NOT (f.blank OR f.duplicate)) AND (e.initial IS NULL OR e.initial = f.initial) GROUP BY w.conv_id, f.i, e.z),
+ends AS (SELECT w.conv_id, min({'cost': w.best.cost + CASE w.s WHEN 2 THEN 3 ELSE 0 END, 'audit': w.best.audit || CASE w.s WHEN 2 THEN 'I' ELSE '' END, 'said': w.best.said || CASE w.s WHEN 2 THEN ['assistant:'] ELSE [] END}) AS b
+         FROM walk w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.n = w.i WHERE w.s <> 1 GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+SQL = {"op1_repetition": _OP1, "op3_ngram_join": _OP3, "op4_secret_ledger": _op4(), "op6_leaked_items": _OP6, "op7_warc_chunks": _OP7, "op11_dialogue_repair": _OP11}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, blobs, leakage, loading, passages, repetition, shards, similar, store, surrogates, voting
+from . import archive, blobs, dialogue, leakage, loading, passages, repetition, shards, similar, store, surrogates, voting
 from .checks import SQL
 
 KEY = "delivery-network"  # key of the surrogates
@@ -90,13 +90,22 @@ def op10_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("customer_id").alias("doc_id"), "surrogates.*")
 
 
+def op11_dialogue_repair(spark: SparkSession, sf: str) -> DataFrame:
+    turns = _read(spark, sf, "conversations")
+    out = dialogue.repair_conversations(dialogue.damaged_turns(turns)).withColumnRenamed("conv_id", "repaired_id")
+    # conversations of which nothing is left count as well
+    every = turns.select("conv_id").distinct().join(out, F.col("conv_id").eqNullSafe(F.col("repaired_id")), "left")
+    zero = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_histogram_shards, op3_ngram_join, op4_secret_ledger, op5_neighbour_votes, op6_leaked_items, op7_warc_chunks, op8_best_fit, op9_fuzzy_passages, op10_surrogates, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_histogram_shards, op3_ngram_join, op4_secret_ledger, op5_neighbour_votes, op6_leaked_items, op7_warc_chunks, op8_best_fit, op9_fuzzy_passages, op10_surrogates, op11_dialogue_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
