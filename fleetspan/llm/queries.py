@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, blobs, dialogue, leakage, loading, passages, repetition, shards, similar, store, surrogates, voting
+from . import archive, blobs, bytepairs, dialogue, leakage, loading, passages, repetition, shards, similar, store, surrogates, voting
 from .checks import SQL
 
 KEY = "delivery-network"  # key of the surrogates
@@ -99,13 +99,21 @@ def op11_dialogue_repair(spark: SparkSession, sf: str) -> DataFrame:
     return every.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = bytepairs.with_decoded(bytepairs.with_tokens(_records(spark, sf), ranks), ranks)
+    return out.select(F.col("customer_id").alias("doc_id"), F.col("tokens.n_tokens").alias("n_tokens"), F.sha2("tokens.ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_histogram_shards, op3_ngram_join, op4_secret_ledger, op5_neighbour_votes, op6_leaked_items, op7_warc_chunks, op8_best_fit, op9_fuzzy_passages, op10_surrogates, op11_dialogue_repair, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_histogram_shards, op3_ngram_join, op4_secret_ledger, op5_neighbour_votes, op6_leaked_items, op7_warc_chunks, op8_best_fit, op9_fuzzy_passages, op10_surrogates, op11_dialogue_repair, op12_byte_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
