@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, blobs, bytepairs, dialogue, leakage, loading, passages, repetition, shards, similar, store, surrogates, voting
+from . import archive, blobs, bytepairs, crosswalk, dialogue, leakage, loading, passages, repetition, shards, similar, store, surrogates, voting
 from .checks import SQL
 
 KEY = "delivery-network"  # key of the surrogates
@@ -107,13 +107,24 @@ def op12_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("customer_id").alias("doc_id"), F.col("tokens.n_tokens").alias("n_tokens"), F.sha2("tokens.ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_token_crosswalk(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    files = [public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    n = ["n_a", "n_b", "n_groups", "n_links"]
+    groups = F.when(F.col("alignment.n_a") > 0, F.sha2("alignment.groups", 256)).otherwise("").alias("groups_sha256")
+    aligned = crosswalk.align_tokens(_records(spark, sf), *files).select("customer_id", *[F.col(f"alignment.{c}").alias(c) for c in n], groups, F.col("alignment.links").alias("links"))
+    out = crosswalk.with_link_counts(aligned, *files)
+    return out.select(F.col("customer_id").alias("doc_id"), *n, F.col("linked.n_best").alias("n_best"), F.col("linked.count_sum").alias("count_sum"), "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_histogram_shards, op3_ngram_join, op4_secret_ledger, op5_neighbour_votes, op6_leaked_items, op7_warc_chunks, op8_best_fit, op9_fuzzy_passages, op10_surrogates, op11_dialogue_repair, op12_byte_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_histogram_shards, op3_ngram_join, op4_secret_ledger, op5_neighbour_votes, op6_leaked_items, op7_warc_chunks, op8_best_fit, op9_fuzzy_passages, op10_surrogates, op11_dialogue_repair, op12_byte_bpe, op13_token_crosswalk, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
