@@ -18,6 +18,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +36,10 @@ FIRST = SYMBOLS  # added at the first code point of a text
 # states after a code point
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_BLANKS, GLUE, TAKE1, TAKE2 = range(8)
 
-STEP_CHARS = 4_000_000  # code points scanned together
-NONE = 1 << 40  # the rank of what is no token
+STEP_CHARS = 1_000_000  # bytes of text scanned together
+NONE = 1 << 32  # the rank of what is no token
 LANE = 256  # positions composed one after another, all lanes at once
-CACHE_BYTES = 9_000_000  # of pieces and their places, about 100 MB of objects
+CACHE_BYTES = 8_000_000  # of pieces and their places, about 100 MB of objects
 SHORT = 64  # bytes of a piece up to which a plain scan for the least rank is quicker than a heap
 
 
@@ -118,6 +119,7 @@ def load_vocabulary(path: str, to_encode: bool = True) -> SimpleNamespace:
     v = SimpleNamespace(flat=np.frombuffer(b"".join(tokens), np.uint8), lengths=lengths, first=np.cumsum(lengths) - lengths)
     if to_encode:
         v.ranks, v.classes, v.cache = ranks, code_point_classes(), None
+        v.joins = {a << 32 | b: i for t, i in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None}
         v.of_symbol, v.times, v.values, v.starts = _closure()
     return v
 
@@ -160,41 +162,49 @@ def piece_starts(points: np.ndarray, first: np.ndarray, v: SimpleNamespace, cut:
     return v.starts[_prefixes(v.of_symbol[symbol], v), symbol]
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a piece: neighbours of the least rank are joined, the leftmost first, until none can be."""
+def merged(piece: bytes, ranks: dict[bytes, int], joins: dict[int, int]) -> list[int]:
+    """The ids of a piece: neighbours of the least rank are joined, the leftmost first, until none can be.
+
+    ``joins`` has the id that two neighbours, ``a << 32 | b``, make together.
+    """
     if (whole := ranks.get(piece)) is not None:
         return [whole]
-    n = len(piece)
-    if n <= SHORT:
-        cuts = list(range(n + 1))
-        rank = [ranks.get(piece[i : i + 2], NONE) for i in range(n - 1)]
-        while rank and (least := min(rank)) < NONE:
-            i = rank.index(least)
-            del cuts[i + 1], rank[i]
-            if i < len(rank):
-                rank[i] = ranks.get(piece[cuts[i] : cuts[i + 2]], NONE)
-            if i:
-                rank[i - 1] = ranks.get(piece[cuts[i - 1] : cuts[i + 1]], NONE)
-        return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
-    pairs = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-    heapq.heapify(pairs)
-    while pairs:
-        _, i, end = heapq.heappop(pairs)
-        j = after[i]
-        if j < 0 or j >= n or after[j] != end:  # one of the two has been joined since
+    ids = [ranks[piece[i : i + 1]] for i in range(len(piece))]
+    if len(ids) > SHORT:
+        return _merged_long(ids, joins)
+    rank = [joins.get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:])]
+    while rank and (least := min(rank)) < NONE:
+        i = rank.index(least)
+        ids[i] = least
+        del ids[i + 1], rank[i]
+        if i < len(rank):
+            rank[i] = joins.get(least << 32 | ids[i + 1], NONE)
+        if i:
+            rank[i - 1] = joins.get(ids[i - 1] << 32 | least, NONE)
+    return ids
+
+
+def _merged_long(ids: list[int], joins: dict[int, int]) -> list[int]:
+    """The same by a heap over a linked list, n log n for a piece of any length."""
+    n = len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, i + 1) for i in range(n - 1) if (r := joins.get(ids[i] << 32 | ids[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, i, j = heapq.heappop(heap)
+        if after[i] != j or joins.get(ids[i] << 32 | ids[j]) != r:  # one of the two has been joined since
             continue
-        after[i], after[j] = end, -1
-        if end < n:
-            before[end] = i
-            if (r := ranks.get(piece[i : after[end]])) is not None:
-                heapq.heappush(pairs, (r, i, after[end]))
-        if (h := before[i]) >= 0 and (r := ranks.get(piece[h:end])) is not None:
-            heapq.heappush(pairs, (r, h, end))
+        ids[i], k, h = r, after[j], before[i]
+        after[i], after[j] = k, -1
+        if k < n:
+            before[k] = i
+            if (s := joins.get(r << 32 | ids[k])) is not None:
+                heapq.heappush(heap, (s, i, k))
+        if h >= 0 and (s := joins.get(ids[h] << 32 | r)) is not None:
+            heapq.heappush(heap, (s, h, i))
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
+        out.append(ids[i])
         i = after[i]
     return out
 
@@ -202,11 +212,11 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class _Merges(dict):
     """The place of a piece's ids in one growing array."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks, self.ids, self.first, self.count, self.size = ranks, array("I"), array("q"), array("q"), 0
+    def __init__(self, v: SimpleNamespace) -> None:
+        self.joins, self.ranks, self.ids, self.first, self.count, self.size = v.joins, v.ranks, array("I"), array("q"), array("q"), 0
 
     def __missing__(self, piece: bytes) -> int:
-        ids = merged(piece, self.ranks)
+        ids = merged(piece, self.ranks, self.joins)
         self.first.append(len(self.ids))
         self.count.append(len(ids))
         self.ids.extend(ids)
@@ -231,7 +241,7 @@ def encode_step(raw: bytes, first_bytes: np.ndarray, v: SimpleNamespace, cut: bo
     at = begins[starts]
     bounds = (at if cut else np.append(at, len(raw))).tolist()
     if v.cache is None or v.cache.size > CACHE_BYTES:
-        v.cache = _Merges(v.ranks)
+        v.cache = _Merges(v)
     held = v.cache
     which = np.fromiter(map(held.__getitem__, [raw[a:b] for a, b in zip(bounds, bounds[1:])]), np.int64, max(len(bounds) - 1, 0))
     count = np.frombuffer(held.count, np.int64)[which] if len(which) else which
@@ -287,8 +297,13 @@ def _encode_long(text: bytes, v: SimpleNamespace) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(ids), np.concatenate(offsets)
 
 
-def _binary(parts: list[np.ndarray], dtype: str) -> pa.Array:
-    return pa.array([p.astype(dtype).tobytes() for p in parts], pa.binary())
+def _parts(batch: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a batch of about ``STEP_CHARS`` bytes, so that little is held at once."""
+    sizes = pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    step = (np.cumsum(sizes) - sizes) // STEP_CHARS
+    bounds = np.flatnonzero(np.diff(step, prepend=-1)).tolist() + [len(batch)]
+    for a, b in zip(bounds, bounds[1:]):
+        yield batch.slice(a, b - a)
 
 
 def with_tokens(customers: DataFrame, vocabulary: str, text: str = "address", as_column: str = "tokens") -> DataFrame:
@@ -304,9 +319,9 @@ def with_tokens(customers: DataFrame, vocabulary: str, text: str = "address", as
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = held.value  # once a worker, its cache of merged pieces with it
         for batch in batches:
-            done = list(encode_texts([b"" if t is None else t for t in batch.cast(pa.binary()).to_pylist()], v))
-            ids, offsets = [d[0] for d in done], [d[1] for d in done]
-            yield pa.StructArray.from_arrays([pa.array([len(i) for i in ids], pa.int64()), _binary(ids, "<u4"), _binary(offsets, "<u4")], names=["n_tokens", "ids", "offsets"])
+            for part in _parts(batch.cast(pa.binary())):
+                rows = [(len(i), i.astype("<u4").tobytes(), o.astype("<u4").tobytes()) for i, o in encode_texts([t or b"" for t in part.to_pylist()], v)]
+                yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["n_tokens", "ids", "offsets"])
 
     return customers.withColumn(as_column, encode(F.col(text)))
 
@@ -322,10 +337,11 @@ def with_decoded(customers: DataFrame, vocabulary: str, tokens: str = "tokens",
     def decode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         v = held.value
         for ids_of, offsets_of in batches:
-            out = []
-            for i, o in zip(ids_of.to_pylist(), offsets_of.to_pylist()):
-                out.append(None if i is None else decoded(np.frombuffer(i, "<u4"), np.frombuffer(o, "<u4"), v))
-            yield pa.array(out, pa.binary())
+            at = 0
+            for part in _parts(ids_of):
+                out = [None if i is None else decoded(np.frombuffer(i, "<u4"), np.frombuffer(o, "<u4"), v) for i, o in zip(part.to_pylist(), offsets_of.slice(at, len(part)).to_pylist())]
+                at += len(part)
+                yield pa.array(out, pa.binary())
 
     return customers.withColumn(as_column, decode(F.col(f"{tokens}.ids"), F.col(f"{tokens}.offsets")))
 

@@ -14,8 +14,8 @@ from .packing import pack, steps, unpack, unsteps
 from .shingles import mix, window_hashes, word_hashes
 from .store import components, stored
 
-ENTRIES = 4_000_000  # shingles that one task sorts
-BATCH = 2_000_000  # shingles gathered before they are dealt out
+ENTRIES = 2_000_000  # shingles that one task sorts
+BATCH = 1_000_000  # shingles gathered before they are dealt out
 ANCHORS = 6  # least hashes by which sets find a first set to be compared with
 MAP = 8  # longs in a set's bit map
 FEW = 16  # members outside a list's main part that are held against all others at once; grows eightfold each round
@@ -204,9 +204,8 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     and hash. Then index lists hold the sets whose prefix has a shingle, cut into blocks by set size: sizes of linked sets
     differ by the threshold at most, so only neighbouring blocks meet. A list whose members are in one component is skipped,
     and lists with the same members are one. In the others, members outside the main part are compared with all, or, if they
-    are many, one of them is, until none is left. Answers are derived where they can be: such a set is compared with the few
-    heads that the list's members are highly similar to, and its overlap with a head and theirs bound its overlap with each
-    of them; bit maps bound how much two sets differ; pairs below the threshold by such a bound are not read. So every pair that may link is compared, derived, or already joined by others.
+    are many, one of them is, until none is left. Answers are derived where they can be: such a set is compared with the
+    heads of the list's components, one each, and its overlap with a head and theirs bound its overlap with each member; bit maps bound how much two sets differ; pairs below the threshold by such a bound are not read. So every pair that may link is compared, derived, or already joined by others.
     """
     need = percent * (F.col("na") + F.col("nb"))  # of (100 + percent) times the overlap
     close = lambda known: known.where((100 + percent) * F.col("inter") >= need).select("a", "b")
@@ -218,9 +217,16 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     known = _answers(rows.select("anchor", F.col("cls").alias("b"), F.col("n").alias("nb")).join(heads, "anchor").where((F.col("a") != F.col("b")) & near).select("a", "b", "na", "nb").distinct(), sets)
     comp = stored(components(close(known)), "components")
 
-    # each set's overlap with the head it shares most with
-    told = known.select(F.explode(F.array(F.struct(F.col("b").alias("cls"), F.col("a").alias("r"), "inter", F.col("na").alias("nr")), F.struct(F.col("a").alias("cls"), F.col("a").alias("r"), F.col("na").alias("inter"), F.col("na").alias("nr")))).alias("t")).select("t.*")
-    told = told.groupBy("cls").agg(F.max(F.struct("inter", "r", "nr")).alias("t")).select("cls", "t.*")
+    # one head a component, the set with most links so far, and each member's overlap with it
+    links = close(known).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    head = comp.join(links, "node").groupBy("component").agg(F.max(F.struct("d", "node")).alias("h")).select("component", F.col("h.node").alias("r"))
+    sizes = sets.select("cls", "n")
+    to_head = comp.join(head, "component").select(F.col("node").alias("cls"), "r").join(sizes, "cls").join(sizes.select(F.col("cls").alias("r"), F.col("n").alias("nr")), "r")
+    to_head = stored(to_head, "heads")
+    asked = to_head.where("cls <> r").select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("r").alias("b"), F.col("nr").alias("nb")).select(*turned)
+    known = known.unionByName(_answers(asked.join(known.select("a", "b"), ["a", "b"], "left_anti"), sets))
+    shared = known.select("inter", F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("b").alias("r")), F.struct(F.col("b").alias("cls"), F.col("a").alias("r")))).alias("t")).select("t.*", "inter")
+    told = to_head.join(shared, ["cls", "r"], "left").select("cls", F.when(F.col("cls") == F.col("r"), F.col("n")).otherwise(F.col("inter")).alias("inter"), "r", "nr")
 
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
     label = lambda df: df.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")

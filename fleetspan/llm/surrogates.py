@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +17,7 @@ _MARKS = "".join(c for c in map(chr, range(0x300, 0x1E95B)) if unicodedata.categ
 _WORD = rf"(?:[^\W\d_]|[{_MARKS}])+"
 # fixed values: how each kind of personal data is written
 PATTERNS = (
-    ("email", r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
+    ("email", r"(?<![\w.%+-])[\w.%+-]++@(?:[^\W_](?:[^\W_]|-){0,62}\.)+[^\W\d_]{2,24}"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
@@ -36,6 +35,20 @@ IN_SHAPE, DRAWS = 128, 64  # candidates within an entity's shape before longer o
 _CLASS = {letter: (group, group.index(letter)) for groups in _LETTERS.values() for group in groups for letter in group}
 
 
+def _remembered(f):
+    """``f`` with its latest results kept in a plain dict, which travels to tasks with the function."""
+    held: dict = {}
+
+    def kept(*args):
+        if args not in held:
+            if len(held) >= 1 << 16:
+                held.clear()
+            held[args] = f(*args)
+        return held[args]
+
+    return kept
+
+
 def luhn_digit(body: str) -> int:
     total = 0
     for i, c in enumerate(reversed(body)):
@@ -63,7 +76,7 @@ def _plain(c: str) -> bool:
     return c.lower() in _CLASS and c in (c.lower(), c.lower().upper())
 
 
-@lru_cache(1 << 16)
+@_remembered
 def _letter(c: str) -> tuple[str, int] | None:
     """The alphabet in which a letter may change, and its place there; None for all that is no letter.
 
@@ -83,7 +96,7 @@ def _letter(c: str) -> tuple[str, int] | None:
     return letters, letters.index(c)
 
 
-@lru_cache(None)
+@_remembered
 def _alphabet(start: int, end: int, category: str, script: str) -> str:
     letters = map(chr, range(start, end))
     if not category:
@@ -180,7 +193,7 @@ def _draw(kind: str, text: str, key: bytes, step: int) -> str:
     return _once(kind, _widened(kind, text, extra), key)
 
 
-@lru_cache(1 << 16)
+@_remembered
 def surrogate(kind: str, text: str, key: str, steps: int = 1) -> str:
     """The ``steps``-th candidate for the keyed surrogate of an entity.
 
