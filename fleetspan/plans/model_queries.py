@@ -12,7 +12,7 @@ from ..operators import explain as EX
 from ..operators import metrics as ME
 from ..operators import models as MO
 from ..operators.marts import results_mart as results_mart_tables
-from ..operators.sets import sample_k
+from ..operators.tree_shapley import tree_shapley
 from ..streaming import streams as ST
 from . import bind as B
 from .feature_queries import TEMPORAL_SQL, temporal
@@ -76,6 +76,11 @@ def _tree(spark, sf):
     return MO.fit_model("random_forest", _prepared(spark, sf)[0], "binary", FAST["random_forest"])
 
 
+@lru_cache(maxsize=4)
+def _boosted(spark, sf):
+    return MO.fit_model("gradient_boosting", _prepared(spark, sf)[0], "binary", FAST["gradient_boosting"])
+
+
 @lru_cache(maxsize=4)
 def _logit(spark, sf):
     return MO.fit_model("logistic_regression", _prepared(spark, sf)[0], "binary", FAST["logistic_regression"])
@@ -256,40 +261,75 @@ def density_core_points(spark, sf):
 # ---------------------------------------------------------------- explanations
 
 
-def _test_rows(spark, sf, n):
-    return EX.feature_rows(sample_k(_prepared(spark, sf)[0].where("split = 'test'"), "line_id", n), "line_id", "label")
+def _test_rows(spark, sf, few=None):
+    """The whole test side; ``few`` names the first rows by key, for reports on single rows."""
+    rows = EX.feature_rows(_prepared(spark, sf)[0].where("split = 'test'"), "line_id", "label")
+    return rows.orderBy("row_id").limit(few) if few else rows
 
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
-    return EX.permutation_importance(_test_rows(spark, sf, 5000), EX.predictor(_tree(spark, sf)), NAMES, repeats=3)
+    return EX.permutation_importance(_test_rows(spark, sf), EX.predictor(_tree(spark, sf)), NAMES)
 
 
 @query("partial_dependence")
 def partial_dependence(spark, sf):
-    return EX.partial_dependence(_test_rows(spark, sf, 2000), EX.predictor(_tree(spark, sf)), NAMES, ["l_extendedprice", "l_tax", "o_orderpriority"])
+    return EX.partial_dependence(_test_rows(spark, sf), EX.predictor(_tree(spark, sf)), NAMES, ["l_extendedprice", "l_tax", "o_orderpriority"])
 
 
 @query("linear_attributions")
 def linear_attributions(spark, sf):
     f = _logit(spark, sf)
-    return EX.global_attribution(EX.linear_shapley(_test_rows(spark, sf, 5000), f.model.coefficients, NAMES))
+    return EX.global_attribution(EX.linear_shapley(_test_rows(spark, sf), f.model.coefficients, NAMES))
 
 
 @query("sampled_attributions")
 def sampled_attributions(spark, sf):
-    return EX.global_attribution(EX.sampled_shapley(_test_rows(spark, sf, 200), EX.predictor(_tree(spark, sf)), NAMES, orders=5))
+    return EX.global_attribution(EX.sampled_shapley(_test_rows(spark, sf), EX.predictor(_tree(spark, sf)), NAMES, orders=5))
+
+
+@query("tree_attributions")
+def tree_attributions(spark, sf):
+    return EX.global_attribution(tree_shapley(_test_rows(spark, sf), _tree(spark, sf), NAMES))
+
+
+# every row of the test side has one value a feature, and they add up to its score less the mean
+_TEST_LINES = f"WITH {TEMPORAL_SQL} SELECT COUNT(*) AS n FROM lineitem JOIN temporal ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN orders USING (o_orderkey) JOIN customer ON o_custkey = c_custkey WHERE split = 'test'"
+
+
+def _sums(spark, sf, fitted):
+    told = tree_shapley(_test_rows(spark, sf), fitted, NAMES)
+    # rows may share a key only if they share their features, and so their values
+    rows = told.groupBy("row_id").agg((F.count(F.lit(1)) / len(NAMES)).cast("long").alias("n"), F.sum("shap").alias("s"), F.first("score").alias("score"), F.first("base").alias("base"))
+    fine = F.abs(F.col("s") / F.col("n") - (F.col("score") - F.col("base"))) < 1e-9
+    return rows.agg(F.sum("n").alias("rows_explained"), F.sum(F.when(fine, F.col("n"))).alias("rows_that_add_up"))
+
+
+@query("tree_attribution_sums", f"SELECT n AS rows_explained, n AS rows_that_add_up FROM ({_TEST_LINES})")
+def tree_attribution_sums(spark, sf):
+    return _sums(spark, sf, _tree(spark, sf))
+
+
+@query("boosted_attribution_sums", f"SELECT n AS rows_explained, n AS rows_that_add_up FROM ({_TEST_LINES})")
+def boosted_attribution_sums(spark, sf):
+    return _sums(spark, sf, _boosted(spark, sf))
 
 
 @query("local_attributions")
 def local_attributions(spark, sf):
-    return EX.local_attribution(EX.sampled_shapley(_test_rows(spark, sf, 5), EX.predictor(_tree(spark, sf)), NAMES, orders=10))
+    return EX.local_attribution(tree_shapley(_test_rows(spark, sf, 5), _tree(spark, sf), NAMES))
 
 
 @query("local_surrogates")
 def local_surrogates(spark, sf):
     train = EX.feature_rows(_prepared(spark, sf)[0].where("split = 'train'"), "line_id")
-    return EX.local_surrogate(train, _test_rows(spark, sf, 3), EX.predictor(_tree(spark, sf)), NAMES, samples=1000)
+    return EX.local_surrogate(train, _test_rows(spark, sf, 3), EX.predictor(_tree(spark, sf)), NAMES)
+
+
+@query("attribution_agreement")
+def attribution_agreement(spark, sf):
+    """How far the exact attributions and the permutation ranking of one model agree."""
+    return EX.ranking_agreement(tree_attributions(spark, sf), permutation_importance(spark, sf), "mean_abs", "importance_mean")
 
 
 @query("ranking_agreement", """WITH a AS (SELECT p_brand AS feature, COUNT(*) AS n FROM part GROUP BY 1), b AS (SELECT p_brand AS feature, COUNT(*) AS m FROM part WHERE p_size > 25 GROUP BY 1),
