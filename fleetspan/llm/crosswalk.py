@@ -10,6 +10,7 @@ from the two vocabularies, some hundred thousand whatever the texts. Counts by p
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from types import SimpleNamespace
 
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytepairs import PATTERN
 from .store import stored
 
 LANE_TOKENS = 1024  # tokens of A that one lane goes through at most
@@ -32,10 +34,10 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-def _table(tokens: list[bytes]) -> SimpleNamespace:
+def _table(tokens: list[bytes], width: int) -> SimpleNamespace:
     """Token bytes laid end to end, with their digits for printing ids."""
     lengths = np.array([len(t) for t in tokens], np.int64)
-    digits = np.zeros((len(tokens), 10), np.uint8)
+    digits = np.zeros((len(tokens), width), np.uint8)
     for i in range(len(tokens)):
         d = str(i).encode()
         digits[i, : len(d)] = np.frombuffer(d, np.uint8)
@@ -62,31 +64,30 @@ def linkable_pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
 def load_vocabularies(byte_vocabulary: str, piece_model: str) -> SimpleNamespace:
     """What tasks need of both tokenizers: plain types of a few MB, fixed by the two files."""
     import sentencepiece
-    from tokenizers import Tokenizer
 
-    definition, model = open(byte_vocabulary, encoding="utf-8").read(), open(piece_model, "rb").read()
+    definition, model = json.load(open(byte_vocabulary, encoding="utf-8")), open(piece_model, "rb").read()
     letters = _byte_letters()
-    first = Tokenizer.from_str(definition)
-    special = {t.content for t in first.get_added_tokens_decoder().values()}
-    a = [b""] * first.get_vocab_size()
-    for token, i in first.get_vocab().items():
-        a[i] = token.encode() if token in special else bytes(letters[c] for c in token)
+    vocabulary, special = definition["model"]["vocab"], {t["content"]: t["id"] for t in definition["added_tokens"]}
+    joined = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in definition["model"]["merges"]]
+    if joined != sorted(joined):
+        raise ValueError(f"the merges of {byte_vocabulary} are not in the order of their ids")
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if t not in special}
+    a = [b""] * (max([*ranks.values(), *special.values()]) + 1)
+    for token, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
+        a[i] = token
     second = sentencepiece.SentencePieceProcessor(model_proto=model)
     b = [bytes([int(second.id_to_piece(i)[3:5], 16)]) if second.is_byte(i) else second.id_to_piece(i).replace("▁", " ").encode() for i in range(second.get_piece_size())]
-    return SimpleNamespace(definition=definition, model=model, a=_table(a), b=_table(b), pairs=linkable_pairs(a, b), encoders=None)
+    width = len(str(max(len(a), len(b))))
+    return SimpleNamespace(ranks=ranks, model=model, a=_table(a, width), b=_table(b, width), pairs=linkable_pairs(a, b), encoders=None)
 
 
 def _encoders(v: SimpleNamespace):
     if v.encoders is None:  # once a worker
-        import os
-
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        first = Tokenizer.from_str(v.definition)
-        first.encode_special_tokens = True  # their strings in a text are plain text
-        v.encoders = first, sentencepiece.SentencePieceProcessor(model_proto=v.model)
+        # merges in the order of ids are ranks; without special tokens their strings in a text are plain text
+        v.encoders = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=v.ranks, special_tokens={}), sentencepiece.SentencePieceProcessor(model_proto=v.model)
     return v.encoders
 
 
@@ -100,13 +101,12 @@ def encode_both(texts: list[str], v: SimpleNamespace) -> list[tuple[np.ndarray,
     first, second = _encoders(v)
     none = np.empty(0, np.int64)
     some = [t for t in texts if t]
-    a_ids = first.encode_batch_fast([" " + t for t in some], add_special_tokens=False) if some else []
     b_ids = second.encode(some, num_threads=1) if some else []
     out, k = [], 0
     for t in texts:
         pair = (none, none)
         if t:
-            a, b = np.array(a_ids[k].ids, np.int64), np.array(b_ids[k], np.int64)
+            a, b = first.encode_to_numpy(" " + t, disallowed_special=()).astype(np.int64), np.array(b_ids[k], np.int64)
             k += 1
             want = np.frombuffer((" " + t).encode(), np.uint8)
             if all(int(w.lengths[i].sum()) == len(want) and (_joined(i, w) == want).all() for i, w in ((a, v.a), (b, v.b))):
@@ -157,8 +157,9 @@ def _printed(a_ids: np.ndarray, b_ids: np.ndarray, i: np.ndarray, j: np.ndarray,
     """The groups of all texts as one line of bytes (``a1,a2|b1;a3|b2``), and where each text's part begins."""
     n_a, n_b = len(a_ids), len(b_ids)
     # a token's line number: its own side's tokens before it and those of the other side in earlier groups (for B: up to its own)
-    at_a = np.arange(n_a) + np.append(0, j + 1)[np.searchsorted(i, np.arange(n_a), "left")]
-    at_b = np.arange(n_b) + np.append(i, n_a - 1)[np.searchsorted(j, np.arange(n_b), "left")] + 1 if n_b else np.empty(0, np.int64)
+    links_before = lambda n, at: np.cumsum(np.bincount(at + 1, minlength=n + 1))[:n]
+    at_a = np.arange(n_a) + np.append(0, j + 1)[links_before(n_a, i)]
+    at_b = np.arange(n_b) + np.append(i, n_a - 1)[links_before(n_b, j)] + 1
     width = v.a.digits.shape[1] + 1
     lines = np.zeros((n_a + n_b, width), np.uint8)
     lines[at_a, :-1], lines[at_b, :-1] = v.a.digits[a_ids], v.b.digits[b_ids]
@@ -200,7 +201,7 @@ def _steps(texts: list[str | None]) -> Iterator[list[str]]:
 def align_tokens(customers: DataFrame, byte_vocabulary: str, piece_model: str, text: str = "address", as_column: str = "alignment") -> DataFrame:
     """``customers`` with how two tokenizers cut their texts: struct of n_a, n_b, n_groups, n_links, groups and links.
 
-    A is a byte-level BPE (a ``tokenizers`` definition) over a space and the text, B a piece model that adds the space itself.
+    A is a byte-level BPE (a JSON definition, whose merges must be in the order of their ids) over a space and the text, B a piece model that adds the space itself.
     Bytes at which a token of A and one of B end cut both into groups, ``a1,a2|b1;a3|b2,b3``. Every token has a byte at least,
     so each cut links one token of A with one of B; ``links`` are these pairs as little-endian unsigned 32-bit places in
     :func:`linkable_pairs`. Null and empty texts, and texts that a tokenizer changes, have no tokens. All columns are kept,
