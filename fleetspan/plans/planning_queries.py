@@ -8,6 +8,7 @@ from ..functions.calendar import add_minutes
 from ..operators import forecast as FC
 from ..operators import marts as MA
 from ..operators import planning as PL
+from ..operators import site_choice as SC
 from ..operators.joins import lookup_join
 from ..operators.ordered import time_bucket
 from ..operators.sets import busiest_group
@@ -130,10 +131,9 @@ def fleet_assignment_improvement(spark, sf):
 # ---------------------------------------------------------------- sites
 
 
-def zone_costs(spark, sf):
+def zones(spark, sf):
     demand = B.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("zone_id")).agg((F.count(F.lit(1)) / 10.0).alias("demand"))
-    zones = customer_points(spark, sf).withColumnRenamed("customer_id", "zone_id").join(demand, "zone_id")
-    return PL.site_costs(zones, B.sites(spark, sf))
+    return customer_points(spark, sf).withColumnRenamed("customer_id", "zone_id").join(demand, "zone_id")
 
 
 SITE_COST_SQL = f"""WITH {B.SQL_SITES}, {POINT_SQL}, zn AS (SELECT o_custkey AS zone_id, COUNT(*) / 10.0::DOUBLE AS demand, lat AS zlat, lon AS zlon FROM orders JOIN pts ON o_custkey = customer_id GROUP BY 1, 3, 4),
@@ -142,8 +142,7 @@ SITE_COST_SQL = f"""WITH {B.SQL_SITES}, {POINT_SQL}, zn AS (SELECT o_custkey AS
 
 @query("site_service_costs", SITE_COST_SQL + " SELECT site_id, COUNT(*) AS zones, ROUND(SUM(cost), 6) AS cost, ROUND(AVG(km), 6) AS avg_km FROM cc GROUP BY 1")
 def site_service_costs(spark, sf):
-    out = zone_costs(spark, sf).groupBy("site_id").agg(F.count(F.lit(1)).alias("zones"), F.sum("cost").alias("cost"), F.avg("km").alias("avg_km"))
-    return R6(out, "cost", "avg_km")
+    return R6(SC.service_totals(zones(spark, sf), B.sites(spark, sf)), "cost", "avg_km")
 
 
 def _greedy_sql():
@@ -164,14 +163,14 @@ _GCTE, _GSEL = _greedy_sql()
 
 @query("greedy_sites", f"{_GCTE} {_GSEL}")
 def greedy_sites(spark, sf):
-    return R6(PL.greedy_sites(zone_costs(spark, sf), 4), "total_cost")
+    return R6(SC.greedy_sites(zones(spark, sf), B.sites(spark, sf), 4), "total_cost")
 
 
 @query("nearest_open_site", f"{_GCTE}, op AS (SELECT site_id FROM ({_GSEL})), a AS (SELECT zone_id, arg_min(site_id, (cost, site_id)) AS site_id, MIN(cost) AS cost, arg_min(km, (cost, site_id)) AS km, MAX(demand) AS demand FROM cc WHERE site_id IN (SELECT site_id FROM op) GROUP BY 1) "
        "SELECT site_id, COUNT(*) AS zones_served, ROUND(SUM(demand), 6) AS demand, ROUND(AVG(km), 6) AS avg_km, ROUND(SUM(cost), 6) AS service_cost FROM a GROUP BY 1")
 def nearest_open_site(spark, sf):
-    costs = zone_costs(spark, sf)
-    out = PL.open_site_summary(PL.nearest_open_site(costs, PL.greedy_sites(costs, 4)))
+    z, sites = zones(spark, sf), B.sites(spark, sf)
+    out = PL.open_site_summary(SC.nearest_open_site(z, sites, SC.greedy_sites(z, sites, 4)))
     return R6(out, "demand", "avg_km", "service_cost")
 
 
