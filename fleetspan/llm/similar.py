@@ -266,7 +266,11 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
         head_label = comp.select(F.col("node").alias("r"), F.col("component").alias("lr"))
         into_main = like_head & (F.coalesce("lr", "r") == F.col("low"))
         left = left.join(head_label, "r", "left").withColumn("in_main", F.coalesce(F.max(into_main).over(Window.partitionBy("list", "cls")), F.lit(False)))
-        sides = left.select("list", "low", "in_main", F.col("r").alias("ra"), "nr", *side("a")).join(full.select(F.col("list").alias("other"), F.col("r").alias("rb"), *side("b")), (F.col("list") == F.col("other")) & F.col("ra").eqNullSafe(F.col("rb")) & (F.col("la") != F.col("lb")) & ~(F.col("in_main") & (F.col("lb") == F.col("low"))) & near & ~far & ~by_head)
+        # two sets that share many lists meet in the first of them only
+        asks = met.groupBy("cls").agg(F.collect_set("list").alias("asked"))
+        stands = rest.groupBy("cls").agg(F.collect_set("list").alias("stands"))
+        first_met = F.array_min(F.array_intersect("asked", "stands")) == F.col("list")
+        sides = left.join(asks, "cls").select("list", "low", "in_main", "asked", F.col("r").alias("ra"), "nr", *side("a")).join(full.join(stands, "cls").select(F.col("list").alias("other"), "stands", F.col("r").alias("rb"), *side("b")), (F.col("list") == F.col("other")) & F.col("ra").eqNullSafe(F.col("rb")) & (F.col("la") != F.col("lb")) & ~(F.col("in_main") & (F.col("lb") == F.col("low"))) & near & ~far & ~by_head & first_met)
         pairs = sides.select(*turned).distinct()
         answers = _answers(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), sets)
         known = known.unionByName(answers)
