@@ -12,7 +12,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.chance import hash_uniform
@@ -175,16 +175,16 @@ def _mean_path(n):
 
 
 def isolation_forest(df: DataFrame, key: str, array: str, trees: int = 200, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Nodes of all trees. Each tree is grown in one task from ``sample`` rows drawn by hash."""
-    n = df.count()
-    want = trees * sample
-    rows = df.select(key, F.col(array).cast("array<double>").alias("x"))
-    if n >= want:  # one draw for all trees, dealt out: a row serves at most one tree
-        picked = rows.withColumn("_u", hash_uniform("iforest", key, seed)).where(F.col("_u") < min(1.0, 1.1 * want / n + 50 / n)).orderBy("_u", key).limit(want)
-        dealt = picked.withColumn("tree", F.floor(F.col("_u") * 1e9).cast("long") % trees)
-    else:  # a small table: every tree draws from all rows, at most ``want`` of them
-        each = rows.withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))))
-        dealt = each.where(hash_uniform("iforest", ["tree", key], seed) < min(1.0, sample / max(n, 1)))
+    """Nodes of all trees. Each tree is grown in one task from the ``sample`` rows of the least hash of (tree, key).
+
+    A row enters the draw of a tree if its hash is below a bound that lets through ``sample`` rows and six deviations more,
+    so few rows are moved; the least ``sample`` of these are taken. The draw doesn't depend on partitions or the table's size.
+    """
+    n = max(df.count(), 1)
+    bound = (sample + 6 * math.sqrt(sample) + 36) / n
+    drawn = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long")), lambda t: F.struct(t.alias("tree"), hash_uniform("iforest", [t, F.col(key)], seed).alias("u"))), lambda s: s["u"] < bound)
+    hit = df.select(key, F.col(array).cast("array<double>").alias("x"), F.explode(drawn).alias("_t")).select(key, "x", "_t.*")
+    dealt = hit.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("u", key))).where(F.col("_r") <= sample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, kind="stable")
@@ -280,7 +280,9 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, key: str, array: st
         if len(qi) and len(mi):
             x = np.asarray(a["_x"].combine_chunks().flatten()).reshape(len(qi), -1)
             y = np.asarray(b["_x"].combine_chunks().flatten()).reshape(len(mi), -1)
-            d = np.sqrt(np.maximum(((x[:, None, :] - y[None]) ** 2).sum(axis=2), 0)) if x.size * len(mi) < 2e7 else np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
+            # rows in slices, so that the differences of a slice take no more than about 100 MB
+            step = max(1, 12_000_000 // max(1, y.size))
+            d = np.concatenate([np.sqrt(((x[i : i + step, None, :] - y[None]) ** 2).sum(axis=2)) for i in range(0, len(x), step)])
             if exclude_self:
                 d[qi[:, None] == mi[None]] = np.inf
             for i in range(len(qi)):
@@ -292,7 +294,7 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, key: str, array: st
         kind = a.schema.field("_id").type
         return pa.table({"query": pa.array(out["query"], kind), "neighbour": pa.array(out["neighbour"], kind), "distance": pa.array(out["distance"], pa.float64())})
 
-    from pyspark.sql import Window
+
 
     found = q.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInArrow(compare, f"query {id_type}, neighbour {id_type}, distance double")
     w = Window.partitionBy("query").orderBy("distance", "neighbour")
