@@ -60,12 +60,14 @@ def missing_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, extremes and bias-corrected skewness and kurtosis per column."""
-    long = long_numeric(df, columns)
-    g = long.groupBy("column").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"), F.count_if(F.col("value").isNull()).alias("n_missing"),
-        F.skewness("value").alias("_g1"), F.kurtosis("value").alias("_g2"),
-    )
+    x = lambda c: F.col(c).cast("double")
+    facts = [
+        ("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max), ("n_missing", lambda v: F.count_if(v.isNull())),
+        ("_g1", F.skewness), ("_g2", F.kurtosis),
+    ]
+    wide = df.agg(*[f(x(c)).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in facts])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{k}{i}").alias(k) for k, _ in facts]) for i, c in enumerate(columns)])
+    g = wide.select(F.explode(rows).alias("r")).select("r.*")
     n = F.col("n").cast("double")
     skew = F.when((n > 2) & (F.col("std") > 0), F.col("_g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when((n > 3) & (F.col("std") > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("_g2") + 6))
