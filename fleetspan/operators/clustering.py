@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -316,6 +317,85 @@ def _planar_cells(x: str, y: str, side: float) -> tuple[Column, Column]:
     return F.floor(F.col(x) / side).cast("long"), F.floor(F.col(y) / side).cast("long")
 
 
+HELD = 64  # points of a box that are looked at one by one; larger ones are split in four
+
+
+def _boxes(spots: DataFrame, side: float, level: int) -> DataFrame:
+    """The points of a cell's quarters, sixteenths and so on: their bounding box, number and weight."""
+    sub = [F.floor(F.col(c) / (side / 2**level)).cast("long").alias(k) for c, k in (("px", "sx"), ("py", "sy"))]
+    return spots.select("*", *sub).groupBy("cx", "cy", "sx", "sy").agg(
+        F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"), F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+
+
+def _reach(ax0, ax1, ay0, ay1, bx0, bx1, by0, by1) -> tuple[Column, Column]:
+    """Squares of the least and the largest distance between points of two boxes."""
+    zero = F.lit(0.0)
+    dx, dy = F.greatest(bx0 - ax1, ax0 - bx1, zero), F.greatest(by0 - ay1, ay0 - by1, zero)
+    wx, wy = F.greatest(bx1 - ax0, ax1 - bx0), F.greatest(by1 - ay0, ay1 - by0)
+    return dx * dx + dy * dy, wx * wx + wy * wy
+
+
+def _weight_within(probes: DataFrame, spots: DataFrame, eps: float, side: float) -> DataFrame:
+    """Weight of the ``spots`` of cell (nx, ny) at most ``eps`` from a probe, where there is any: (px, py, nx, ny, w).
+
+    A box of points that lies inside the circle counts as a whole, one outside not at all; of those the circle cuts, boxes of
+    at most ``HELD`` points are looked at point by point and larger ones split, so no key meets more rows than that.
+    """
+    c = F.col
+    left = probes.select("px", "py", "nx", "ny", c("nx").alias("cx"), c("ny").alias("cy"))
+    parts, level, on = [], 0, ["cx", "cy"]
+    while True:
+        boxes = _boxes(spots, side, level)
+        boxes = boxes.withColumns({"ux": F.floor(c("sx") / 2).cast("long"), "uy": F.floor(c("sy") / 2).cast("long")}) if level else boxes
+        low, high = _reach(c("px"), c("px"), c("py"), c("py"), c("x0"), c("x1"), c("y0"), c("y1"))
+        met = left.join(boxes, on).withColumns({"_low": low, "_high": high}).where(c("_low") <= eps * eps)
+        met = cut_lineage(met.select("px", "py", "nx", "ny", "cx", "cy", "sx", "sy", "n", "w", "_high"))
+        parts.append(met.where(c("_high") <= eps * eps).select("px", "py", "nx", "ny", "w"))
+        cut = met.where(c("_high") > eps * eps)
+        sub = spots.select(c("px").alias("qx"), c("py").alias("qy"), c("w"), "cx", "cy", *[F.floor(c(x) / (side / 2**level)).cast("long").alias(k) for x, k in (("px", "sx"), ("py", "sy"))])
+        close = (c("px") - c("qx")) * (c("px") - c("qx")) + (c("py") - c("qy")) * (c("py") - c("qy")) <= eps * eps
+        parts.append(cut.where(c("n") <= HELD).drop("w").join(sub, ["cx", "cy", "sx", "sy"]).where(close).select("px", "py", "nx", "ny", "w"))
+        heavy = cut.where(c("n") > HELD)
+        if heavy.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), parts).groupBy("px", "py", "nx", "ny").agg(F.sum("w").alias("w"))
+        left, level, on = heavy.select("px", "py", "nx", "ny", "cx", "cy", c("sx").alias("ux"), c("sy").alias("uy")), level + 1, ["cx", "cy", "ux", "uy"]
+
+
+def _close_cells(cores: DataFrame, ahead: Column, eps: float, side: float) -> DataFrame:
+    """Pairs of cells (cx, cy) and (nx, ny), one of the ``ahead`` steps apart, that hold two points at most ``eps`` apart.
+
+    Boxes surely close link their cells at once, boxes surely apart are dropped, pairs of boxes of few points are compared, and
+    the rest is split. Cells that are linked leave, so dense ones are rarely looked into.
+    """
+    c = F.col
+    spots = cores.withColumn("w", F.lit(1))
+    cells = _boxes(spots, side, 0).select("cx", "cy")
+    left = cells.select("cx", "cy", ahead).select("cx", "cy", (c("cx") + c("o.i")).alias("nx"), (c("cy") + c("o.j")).alias("ny"))
+    parts, level = [], 0
+    on_a, on_b = ["cx", "cy"], ["nx", "ny"]
+    while True:
+        boxes = _boxes(spots, side, level)
+        if level:
+            boxes = boxes.withColumns({"ux": F.floor(c("sx") / 2).cast("long"), "uy": F.floor(c("sy") / 2).cast("long")})
+        named = lambda x, cell: boxes.select(*[c(k).alias(v) for k, v in zip(("cx", "cy"), cell)], *[c(k).alias(f"{x}{k}") for k in boxes.columns if k not in ("cx", "cy", "w")])
+        low, high = _reach(*[c(f"a{k}") for k in ("x0", "x1", "y0", "y1")], *[c(f"b{k}") for k in ("x0", "x1", "y0", "y1")])
+        met = left.join(named("a", ("cx", "cy")), on_a).join(named("b", ("nx", "ny")), on_b).withColumns({"_low": low, "_high": high}).where(c("_low") <= eps * eps)
+        met = cut_lineage(met.select("cx", "cy", "nx", "ny", "asx", "asy", "bsx", "bsy", "an", "bn", "_high"))
+        sure = met.where(c("_high") <= eps * eps).select("cx", "cy", "nx", "ny")
+        cut = met.where(c("_high") > eps * eps)
+        few = c("an") * c("bn") <= HELD * HELD
+        sub = lambda x, q, cell: cores.select(c("px").alias(f"{q}x"), c("py").alias(f"{q}y"), *[c(k).alias(v) for k, v in zip(("cx", "cy"), cell)], *[F.floor(c(p) / (side / 2**level)).cast("long").alias(f"{x}{k}") for p, k in (("px", "sx"), ("py", "sy"))])
+        close = (c("px") - c("qx")) * (c("px") - c("qx")) + (c("py") - c("qy")) * (c("py") - c("qy")) <= eps * eps
+        points = cut.where(few).join(sub("a", "p", ("cx", "cy")), ["cx", "cy", "asx", "asy"]).join(sub("b", "q", ("nx", "ny")), ["nx", "ny", "bsx", "bsy"]).where(close).select("cx", "cy", "nx", "ny")
+        found = cut_lineage(sure.unionByName(points).distinct())
+        parts.append(found)
+        heavy = cut.where(~few).join(found, ["cx", "cy", "nx", "ny"], "left_anti")
+        if heavy.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), parts)
+        left, level = heavy.select("cx", "cy", "nx", "ny", c("asx").alias("aux"), c("asy").alias("auy"), c("bsx").alias("bux"), c("bsy").alias("buy")), level + 1
+        on_a, on_b = ["cx", "cy", "aux", "auy"], ["nx", "ny", "bux", "buy"]
+
+
 def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int) -> DataFrame:
     """Density clusters of points in the plane: (key, is_core, cluster), noise is -1, exact.
 
@@ -333,17 +413,11 @@ def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int)
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])).alias("o")
     light = tagged.where(F.col("cw") < min_points)
     probe = light.select("px", "py", "cx", "cy", around).select("px", "py", (F.col("cx") + F.col("o.i")).alias("nx"), (F.col("cy") + F.col("o.j")).alias("ny"))
-    other = spots.select(F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("w").alias("qw"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
-    close = (F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")) + (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy")) <= eps * eps
-    dense = probe.join(other, ["nx", "ny"]).where(close).groupBy("px", "py").agg(F.sum("qw").alias("nb")).where(F.col("nb") >= min_points)
+    dense = _weight_within(probe, spots.select("px", "py", "cx", "cy", "w"), eps, side).groupBy("px", "py").agg(F.sum("w").alias("nb")).where(F.col("nb") >= min_points)
     cores = cut_lineage(tagged.where(F.col("cw") >= min_points).select("px", "py", "cx", "cy").unionByName(light.join(dense, ["px", "py"]).select("px", "py", "cx", "cy")))
-    # links between core cells: existence of one close pair
-    ahead = [(i, j) for i, j in steps if (i, j) > (0, 0)]
-    fwd = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ahead])).alias("o")
-    a = cores.select("px", "py", "cx", "cy", fwd).select("px", "py", "cx", "cy", (F.col("cx") + F.col("o.i")).alias("nx"), (F.col("cy") + F.col("o.j")).alias("ny"))
-    b = cores.select(F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
-    name = lambda p, q: F.concat_ws(":", p, q)
-    links = a.join(b, ["nx", "ny"]).where(close).select(name("cx", "cy").alias("s"), name("nx", "ny").alias("t")).distinct()
+    name = lambda p, q: F.concat_ws(":", p, q)
+    ahead = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps if (i, j) > (0, 0)])).alias("o")
+    links = _close_cells(cores, ahead, eps, side).select(name("cx", "cy").alias("s"), name("nx", "ny").alias("t"))
     both = cut_lineage(links.unionByName(links.select(F.col("t").alias("s"), F.col("s").alias("t"))))
     labels = cut_lineage(cores.select(name("cx", "cy").alias("cell")).distinct().withColumn("label", F.col("cell")))
     while True:  # labels only fall, so this ends
@@ -360,8 +434,9 @@ def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int)
     # border points take the smallest cluster among close core points
     rim = tagged.join(cores.select("px", "py"), ["px", "py"], "left_anti")
     r = rim.select("px", "py", "cx", "cy", around).select("px", "py", (F.col("cx") + F.col("o.i")).alias("nx"), (F.col("cy") + F.col("o.j")).alias("ny"))
-    c = cores.join(core_label.select("px", "py", "label"), ["px", "py"]).select(F.col("px").alias("qx"), F.col("py").alias("qy"), "label", F.col("cx").alias("nx"), F.col("cy").alias("ny"))
-    border = r.join(c, ["nx", "ny"]).where(close).groupBy("px", "py").agg(F.min("label").alias("label")).select("px", "py", F.lit(False).alias("_core"), "label")
+    # the core points of a cell are one cluster, so it is enough to know which cells have one nearby
+    met = _weight_within(r, cores.withColumn("w", F.lit(1).cast("long")), eps, side).select("px", "py", name("nx", "ny").alias("cell"))
+    border = met.join(labels, "cell").groupBy("px", "py").agg(F.min("label").alias("label")).select("px", "py", F.lit(False).alias("_core"), "label")
     known = core_label.unionByName(border)
     ids = labels.select("label").distinct()
     from .ordered import numbered, text_ranges

@@ -247,7 +247,17 @@ def _planar(spark, sf):
     return e.select("event_id", (F.hour("ts") + F.minute("ts") / 60.0).alias("px_hour"), (F.col("value") / 10).alias("py_value"))
 
 
-@query("density_clusters")
+_CLUSTER_SQL = """WITH RECURSIVE p AS MATERIALIZED (SELECT event_id, hour(ts) + minute(ts) / 60.0::DOUBLE AS x, value / 10 AS y FROM events),
+  k AS MATERIALIZED (SELECT a.event_id, a.x, a.y, floor(a.x / (0.4::DOUBLE / sqrt(2)))::BIGINT || ':' || floor(a.y / (0.4::DOUBLE / sqrt(2)))::BIGINT AS cell FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.4::DOUBLE * 0.4::DOUBLE GROUP BY 1, 2, 3, 4 HAVING COUNT(*) >= 12),
+  e AS MATERIALIZED (SELECT DISTINCT a.cell AS s, b.cell AS t FROM k a JOIN k b ON a.cell <> b.cell AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.4::DOUBLE * 0.4::DOUBLE),
+  c(cell, root) AS (SELECT DISTINCT cell, cell FROM k UNION SELECT e.t, c.root FROM c JOIN e ON e.s = c.cell),
+  l AS (SELECT cell, MIN(root) AS label FROM c GROUP BY 1), n AS (SELECT label, ROW_NUMBER() OVER (ORDER BY label) - 1 AS cluster FROM (SELECT DISTINCT label FROM l)),
+  b AS (SELECT p.event_id, MIN(l.label) AS label FROM p JOIN k ON (p.x - k.x) * (p.x - k.x) + (p.y - k.y) * (p.y - k.y) <= 0.4::DOUBLE * 0.4::DOUBLE JOIN l USING (cell) WHERE p.event_id NOT IN (SELECT event_id FROM k) GROUP BY 1),
+  a AS (SELECT event_id, TRUE AS is_core, label FROM k JOIN l USING (cell) UNION ALL SELECT event_id, FALSE, label FROM b)
+  SELECT event_id, COALESCE(is_core, FALSE) AS is_core, COALESCE(cluster, -1)::BIGINT AS cluster FROM p LEFT JOIN a USING (event_id) LEFT JOIN n USING (label)"""
+
+
+@query("density_clusters", _CLUSTER_SQL)
 def density_clusters(spark, sf):
     return CL.dbscan(_planar(spark, sf), "event_id", "px_hour", "py_value", 0.4, 12)
 
