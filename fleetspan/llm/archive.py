@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 1 << 16
+CHUNK_BYTES = 1 << 16
 _BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")  # fixed values: digits of base 32, RFC 4648 alphabet
 _CHUNKS = "page_id long, url string, chunk long, chunks long, part string, part_bytes long, digest_so_far string, digest string, payload_bytes long"
 
@@ -21,7 +21,7 @@ def base32_of_hex(digest: Column) -> Column:
     return F.translate(F.upper(F.concat(*groups)), *_BASE32)
 
 
-def chunk_table(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def chunk_table(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per record and chunk: its text, the running SHA-1 up to and with it, the whole record's digest and size.
 
     A record is never copied whole: the digest is carried from chunk to chunk, and a batch of chunk rows is sent on as soon
@@ -39,17 +39,24 @@ def chunk_table(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
         rows, held = [], 0
         for b in batches:
             for key, address, payload in zip(*(b.column(i) for i in range(3))):
-                text = payload.as_py() or ""
-                n = max(1, -(-len(text) // chunk_chars))
-                digest, total = hashlib.sha1(), 0
-                for k in range(n):  # first reading: the digest, chunk by chunk
-                    raw = text[k * chunk_chars : (k + 1) * chunk_chars].encode()
-                    digest.update(raw)
-                    total += len(raw)
-                final, running = digest.hexdigest(), hashlib.sha1()
-                for k in range(n):
-                    part = text[k * chunk_chars : (k + 1) * chunk_chars]
-                    raw = part.encode()
+                # slices of the Arrow buffer: the payload is never copied whole
+                held_here = memoryview(payload.as_buffer()) if payload.is_valid else memoryview(b"")
+                ends = [0]
+                while ends[-1] < len(held_here):
+                    end = min(ends[-1] + chunk_bytes, len(held_here))
+                    while end < len(held_here) and held_here[end] & 0xC0 == 0x80 and end > ends[-1] + 1:
+                        end -= 1
+                    if end < len(held_here) and held_here[end] & 0xC0 == 0x80:  # a character longer than a chunk
+                        end = next((e for e in range(end + 1, len(held_here)) if held_here[e] & 0xC0 != 0x80), len(held_here))
+                    ends.append(end)
+                ends = ends if len(ends) > 1 else [0, 0]
+                n, digest = len(ends) - 1, hashlib.sha1()
+                for x, y in zip(ends, ends[1:]):  # first reading: the digest, chunk by chunk
+                    digest.update(held_here[x:y])
+                final, running, total = digest.hexdigest(), hashlib.sha1(), len(held_here)
+                for k, (x, y) in enumerate(zip(ends, ends[1:])):
+                    raw = held_here[x:y]
+                    part = str(raw, "utf-8")
                     if n > 1:
                         running.update(raw)
                     rows.append((key.as_py(), address.as_py(), k, n, part, len(raw), running.hexdigest() if n > 1 else final, final, total))
@@ -68,16 +75,16 @@ def _separator(run: str) -> str:
     return f"\r\n\r\nWARC/1.1\r\nX-Archive-Run: {run}\r\n"
 
 
-def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", chunk_chars: int = CHUNK_CHARS, least_bytes: int = 0) -> str:
+def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", chunk_bytes: int = CHUNK_BYTES, least_bytes: int = 0) -> str:
     """Write a WARC/1.1 record per page below ``folder``, as gzip files, and return the run's name for the reader.
 
     Of records with equal payloads of ``least_bytes`` or more, the one with the smallest page_id is a response and the
     others are revisits of it, without payload; rows that repeat the smallest page_id are responses too. Payloads of more
-    than ``chunk_chars`` characters are segmented: a first record and continuation records with segment numbers, one row
+    than ``chunk_bytes`` bytes are segmented: a first record and continuation records with segment numbers, one row
     of the job each. Spark's text writer makes the files, so any file system it knows will do. Null page_ids sort last.
     """
     run = uuid.uuid4().hex
-    chunks = chunk_table(pages, page_id, url, html, chunk_chars)
+    chunks = chunk_table(pages, page_id, url, html, chunk_bytes)
     heads = chunks.where("chunk = 0").select("page_id", "digest", "payload_bytes")
     # only payloads that occur under several ids need a decision; Spark broadcasts the table when it is small
     shared = heads.groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("payload_bytes") >= least_bytes)).drop("n")
@@ -100,7 +107,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         when(F.col("revisit"), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), when(F.col("revisit"), F.lit("X-Refers-To-Page: "), text("first_id")),
         when(many, F.lit("WARC-Segment-Number: "), (F.col("chunk") + 1).cast("string")), when(~first, F.lit("WARC-Segment-Origin-ID: "), origin),
         when(many & (F.col("chunk") + 1 == F.col("chunks")), F.lit("WARC-Segment-Total-Length: "), text("payload_bytes")), when(many, F.lit("X-Running-Digest: sha1:"), base32_of_hex(F.col("digest_so_far"))),
-        when(F.lit(True), F.lit("Content-Type: text/html")), F.lit("Content-Length: "), F.when(F.col("revisit"), "0").otherwise(text("part_bytes")), F.lit(end + end),
+        when(~F.col("revisit"), F.lit("WARC-Block-Digest: sha1:"), base32_of_hex(F.sha1(F.col("part").cast("binary")))), when(F.lit(True), F.lit("Content-Type: text/html")), F.lit("Content-Length: "), F.when(F.col("revisit"), "0").otherwise(text("part_bytes")), F.lit(end + end),
     )
     body = F.when(F.col("revisit"), "").otherwise(F.col("part"))
     # a line is a record with its closing blank lines but the last line feed, which the writer adds
@@ -112,8 +119,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 def read_archives(spark: SparkSession, folder: str, run: str) -> DataFrame:
     """The pages behind archives of a run, one row each: page_id, url, sizes as read, digest, record type, page referred to, and intact.
 
-    intact: all segments are there, sizes add up, and the digest of the payload as read is the recorded one (of a segmented
-    payload the running digests are checked segment by segment). Blocks stay segmented, so no payload is put together.
+    intact: all segments are there, sizes add up, and the digest of every block as read is the one that its record states (for
+    a payload in one block that is the payload's digest). Blocks stay segmented, so no payload is put together. An archive
+    without records gives no rows.
     """
     raw = spark.read.option("lineSep", _separator(run)).text(folder)
     # the first record of a file keeps its version line, the last its closing blank lines
@@ -126,7 +134,7 @@ def read_archives(spark: SparkSession, folder: str, run: str) -> DataFrame:
     rows = rows.select(
         get("WARC-Type").alias("type"), get("X-Page-ID").cast("long").alias("page_id"), get("WARC-Target-URI").alias("url"), get("WARC-Payload-Digest").alias("digest"), get("X-Payload-Length").cast("long").alias("stated"),
         get("X-Refers-To-Page").cast("long").alias("refers_to"), F.coalesce(get("WARC-Segment-Origin-ID"), get("WARC-Record-ID")).alias("record"), F.coalesce(get("WARC-Segment-Number").cast("long"), F.lit(1)).alias("segment"), get("X-Running-Digest").alias("running"),
-        F.octet_length("block").cast("long").alias("size"), (F.octet_length("block") == length).alias("whole"), F.sha1(F.col("block").cast("binary")).alias("sha1"), get("WARC-Segment-Total-Length").cast("long").alias("total"),
+        F.octet_length("block").cast("long").alias("size"), ((F.octet_length("block") == length) & ((get("WARC-Type") == "revisit") | F.coalesce(F.concat(F.lit("sha1:"), base32_of_hex(F.sha1(F.col("block").cast("binary")))) == get("WARC-Block-Digest"), F.lit(False)))).alias("whole"), F.sha1(F.col("block").cast("binary")).alias("sha1"), get("WARC-Segment-Total-Length").cast("long").alias("total"),
     )
     whole = rows.where("running is null").select("page_id", "url", F.coalesce("stated", "size").alias("payload_bytes"), F.substring("digest", 6, 32).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", (F.col("whole") & ((F.col("type") == "revisit") | ((F.col("size") == F.col("stated")) & (F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha1"))) == F.col("digest"))))).alias("intact"))
     parts = rows.where("running is not null")

@@ -50,16 +50,23 @@ def _spans(text: Column, rule: Rule) -> Column:
     gap = F.regexp_extract_all(text, F.lit(rf"(?s)(.*?)(?:{rule.pattern}|\z)"), F.lit(1))
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    start = F.lit(0).cast("long")
-    zero = F.struct(start.alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("found"))
+    # positions are summed up in slices of about the root of their number, as an array grows by copying
+    matches = F.arrays_zip(gap.alias("gap"), whole.alias("whole"), part.alias("part"))
+    width = F.ceil(F.sqrt(F.greatest(F.size(matches), F.lit(1)))).cast("int")
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(matches), F.lit(1)) - 1) / width).cast("int")), lambda i: F.slice(matches, i * width + 1, width))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("found"))
 
     def step(acc, x):
         begin = acc["at"] + F.char_length(x["gap"])
-        end = begin + F.char_length(x["whole"])
+        end = begin + F.coalesce(F.char_length(x["whole"]), F.lit(0))
         hit = F.array(F.struct(begin.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(F.coalesce(F.char_length(x["part"]) >= rule.least, F.lit(False)), F.concat(acc["found"], hit)).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(F.arrays_zip(gap.alias("gap"), whole.alias("whole"), part.alias("part")), zero, step, lambda acc: acc["found"])
+    def join(acc, x):
+        moved = F.transform(x["found"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["found"], moved).alias("found"))
+
+    return F.aggregate(F.transform(slices, lambda s: F.aggregate(s, zero, step)), zero, join, lambda acc: acc["found"])
 
 
 def scan_versions(versions: DataFrame, path: str = "path", text: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import unused
+
 MAX_AUTOMATON_WORDS = 2_000_000  # words of items in one automaton; more items make more automata, each passed over the records
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _RESULT = "n_words long, n_hit long, items array<string>, longest long, spans array<array<long>>, chars_hit long, clean string"
@@ -177,7 +179,7 @@ def strip_leaks(customers: DataFrame, items: DataFrame, address: str = "address"
     out, spans, cols = customers, F.array().cast("array<array<long>>"), []
     for k in range(parts):
         held = spark.sparkContext.broadcast([(r["item"], words_of(r["text"])) for r in items.where(F.col("part") == k).select("item", "text").collect()])
-        cols.append(f"_{as_column}_{k}")
+        cols += unused(out.columns, f"_{as_column}_{k}")
         out = out.withColumn(cols[-1], _finder(held, window, max_words)(F.col(address), spans))
         spans = F.col(f"{cols[-1]}.spans")
     each = lambda f: F.array(*[F.col(f"{c}.{f}") for c in cols])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import stored, unused
 
 PART_ROWS = 20_000  # orders loaded together
 SPECIAL = {"<|endoftext|>": 50256}  # fixed values: the special token of the vocabulary byte_bpe_50k
@@ -70,11 +70,12 @@ def load_orders(orders: DataFrame, units: str = "items_count", capacity: int = 2
     table gives no rows.
     """
     spark = orders.sparkSession
-    kept = [c for c in orders.columns if c not in ("vehicle", "load_offset", "_part", "_open")]
+    kept = [c for c in orders.columns if c not in ("vehicle", "load_offset")]
+    part, open_, row = unused([*kept, "vehicle", "load_offset"], "_part", "_open", "_row")
     todo = orders.select(*kept)
     done, base = None, 0
     saved_to = None
-    schema = todo.withColumn("vehicle", F.lit(0).cast("long")).withColumn("load_offset", F.lit(0).cast("long")).withColumn("_open", F.lit(False)).schema
+    schema = todo.withColumn("vehicle", F.lit(0).cast("long")).withColumn("load_offset", F.lit(0).cast("long")).withColumn(open_, F.lit(False)).schema
 
     def loader(first: int, parts: int):
         def load(group: pd.DataFrame) -> pd.DataFrame:
@@ -84,29 +85,29 @@ def load_orders(orders: DataFrame, units: str = "items_count", capacity: int = 2
             bins, place = best_fit_decreasing(sizes, capacity)
             load_of = np.bincount(bins, weights=sizes, minlength=int(bins.max()) + 1)
             gap = len(load_of) > lower_bound(sizes, capacity)
-            group["vehicle"] = first + bins * parts + int(group["_part"].iloc[0])
+            group["vehicle"] = first + bins * parts + int(group[part].iloc[0])
             group["load_offset"] = place
-            group["_open"] = gap & (load_of[bins] < capacity) & (sizes > 0)
+            group[open_] = gap & (load_of[bins] < capacity) & (sizes > 0)
             return group[[f.name for f in schema]]
 
         return load
 
     while True:
-        todo = stored(todo.withColumn("_row", F.monotonically_increasing_id()), "orders-to-load")
+        todo = stored(todo.withColumn(row, F.monotonically_increasing_id()), "orders-to-load")
         n = todo.count()
         parts = max(1, -(-n // part_rows))
-        dealt = todo.withColumn("_part", F.pmod(F.xxhash64("_row", F.lit(base)), F.lit(parts)))
-        out = stored(dealt.groupBy("_part").applyInPandas(loader(base, parts), schema), "loads")
-        used, top, room = out.where("_open").agg(F.countDistinct("vehicle"), F.max("vehicle"), F.sum(F.col(units))).first()
+        dealt = todo.withColumn(part, F.pmod(F.xxhash64(row, F.lit(base)), F.lit(parts)))
+        out = stored(dealt.groupBy(part).applyInPandas(loader(base, parts), schema), "loads")
+        used, top, room = out.where(F.col(open_)).agg(F.countDistinct("vehicle"), F.max("vehicle"), F.sum(F.col(units))).first()
         whole = out.agg(F.max("vehicle")).first()[0]
         base = (whole if whole is not None else 0) + 1
-        closed = out.where("not _open").drop("_open")
+        closed = out.where(~F.col(open_)).drop(open_)
         done = closed if done is None else done.unionByName(closed)
         # stop when all parts are certified, when the rest can't be loaded better, or when a round saves nothing
         if not used or parts == 1 or used <= -(-room // capacity) or (saved_to is not None and used >= saved_to):
-            return done.unionByName(out.where("_open").drop("_open"))
+            return done.unionByName(out.where(F.col(open_)).drop(open_))
         saved_to = used
-        todo = out.where("_open").select(*kept)
+        todo = out.where(F.col(open_)).select(*kept)
 
 
 def token_pieces(records: DataFrame, key: str, text: str, vocabulary: str, capacity: int = 2048, end_id: int = 0, special: dict[str, int] = SPECIAL) -> DataFrame:
@@ -117,7 +118,7 @@ def token_pieces(records: DataFrame, key: str, text: str, vocabulary: str, capac
     are full.
     """
     held = records.sparkSession.sparkContext.broadcast(open(vocabulary, "rb").read())  # 1 MB, a fixed file
-    schema = "key long, piece int, start long, length long, ids_crc32 long"
+    schema = f"key {records.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
     cache: list = []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,7 @@ def token_pieces(records: DataFrame, key: str, text: str, vocabulary: str, capac
                 for i, (x, y) in enumerate(zip(bounds, bounds[1:])):
                     rows.append((k, i, x, y - x, zlib.crc32(ids[x:y].tobytes())))
             names = ["key", "piece", "start", "length", "ids_crc32"]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            types = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
 
-    return records.select(F.col(key).cast("long"), F.col(text)).mapInArrow(cut, schema)
+    return records.select(F.col(key), F.col(text)).mapInArrow(cut, schema)

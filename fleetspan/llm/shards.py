@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .store import stored
+from .store import stored, unused
 
 LOW, HIGH = -(2**63), 2**63 - 1
 
@@ -58,42 +59,48 @@ def splitters(rows: DataFrame, at: str, targets: list[int], lo: int, hi: int, pr
 def balanced_shards(orders: DataFrame, order_key: str = "order_id", size: str = "package_bytes", shards: int = 40, run_bytes: int = 128 << 20, probes: int = 16, tolerance: int = 0) -> DataFrame:
     """Deal ``orders`` into ``shards`` contiguous ranges of ``order_key`` with near-equal sums of ``size``.
 
-    ``order_key`` is a whole number (the digits of the project's order ids); null sorts first. Splitters are refined from
+    ``order_key`` is a whole number, or a string that orders by the number its digits make, as the project's ids do; null, and a
+    string without such a number, sorts first. Splitters are refined from
     exact byte counts until they meet ``tolerance``, then rows are exchanged once, by (shard, run); runs, about
     ``run_bytes`` each, keep a shard's numbering out of one task. Rows of one key may be cut: a boundary inside a key
     falls between its rows by a row number. Returns all columns plus shard and slot (gapless from 0 in a shard, in key
     order within a run); columns of these names are replaced. Null sizes count 0; an empty table gives an empty result.
     """
-    data = orders.drop("shard", "slot").withColumn("_key", F.coalesce(F.greatest(F.lit(LOW + 1), F.least(F.lit(HIGH - 1), F.col(order_key).cast("long"))), F.lit(LOW + 1))).withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
+    orders = orders.drop("shard", "slot")
+    key, weight, tie, run, first, n = unused(orders.columns, "_key", "_size", "_tie", "_run", "_first", "_n")
+    number = F.col(order_key)
+    if isinstance(orders.schema[order_key].dataType, StringType):
+        number = F.regexp_replace(number, "[^0-9]", "").try_cast("long")
+    data = orders.withColumn(key, F.greatest(F.lit(LOW + 1), F.least(F.lit(HIGH - 1), F.coalesce(number.cast("long"), F.lit(LOW + 1))))).withColumn(weight, F.coalesce(F.col(size).cast("long"), F.lit(0)))
     data = stored(data, "orders-to-shard")
-    slim = data.select(F.col("_key").alias("at"), F.col("_size").alias("size"))
+    slim = data.select(F.col(key).alias("at"), F.col(weight).alias("size"))
     total, lo, hi = slim.agg(F.sum("size"), F.min("at"), F.max("at")).first()
     if not total:
-        return data.drop("_key", "_size").withColumn("shard", F.lit(0)).withColumn("slot", F.row_number().over(Window.partitionBy("shard").orderBy(order_key)).cast("long") - 1)
+        return data.drop(key, weight).withColumn("shard", F.lit(0)).withColumn("slot", F.row_number().over(Window.partitionBy("shard").orderBy(order_key)).cast("long") - 1)
     targets = [-(-total * j // shards) for j in range(1, shards)]
     cut = splitters(slim, "at", targets, lo - 1, hi + 1, probes, tolerance)
     # bytes below a boundary's own key, to see whether the target falls inside a key of many rows
     keyed = slim.where(F.col("at").isin([c - 1 for c in set(cut)])).groupBy("at").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
     many = {r["at"] for r in keyed if r["n"] > 1 and r["b"] > max(tolerance, total // shards // 100)}
-    data = data.withColumn("_tie", F.when(F.col("_key").isin(sorted(many)), F.monotonically_increasing_id()).otherwise(0)) if many else data.withColumn("_tie", F.lit(0).cast("long"))
+    data = data.withColumn(tie, F.when(F.col(key).isin(sorted(many)), F.monotonically_increasing_id()).otherwise(0)) if many else data.withColumn(tie, F.lit(0).cast("long"))
     bounds: list[tuple[int, int]] = []
     if many:
         at_below = _exact_below(slim, sorted(many))
         for k in sorted(many):
             mine = [t - at_below[k] for t, c in zip(targets, cut) if c - 1 == k]
-            hot = data.where(F.col("_key") == k).select(F.col("_tie").alias("at"), F.col("_size").alias("size"))
+            hot = data.where(F.col(key) == k).select(F.col(tie).alias("at"), F.col(weight).alias("size"))
             top = hot.agg(F.max("at")).first()[0]
             bounds += [(k, x) for x in splitters(hot, "at", mine, -1, top + 1, probes, tolerance)]
     bounds = sorted(bounds + [(c, 0) for c in cut if c - 1 not in many])
-    shard = sum(((F.col("_key") > k) | ((F.col("_key") == k) & (F.col("_tie") >= t))).cast("int") for k, t in bounds)
+    shard = sum(((F.col(key) > k) | ((F.col(key) == k) & (F.col(tie) >= t))).cast("int") for k, t in bounds)
     runs = max(1, -(-total // (shards * run_bytes)))
-    data = data.withColumn("shard", shard).withColumn("_run", F.pmod(F.xxhash64("_key", "_tie"), F.lit(runs)))
-    counts = data.groupBy("shard", "_run").agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # one row per run
-    counts = counts.select("shard", "_run", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_first"))
-    place = Window.partitionBy("shard", "_run").orderBy("_key", "_tie", F.xxhash64(*[c for c in orders.columns if c not in ("shard", "slot")]))
-    out = data.join(counts, ["shard", "_run"]).withColumn("slot", F.col("_first") + F.row_number().over(place) - 1)
-    return out.drop("_key", "_size", "_tie", "_run", "_first")
+    data = data.withColumn("shard", shard).withColumn(run, F.pmod(F.xxhash64(key, tie), F.lit(runs)))
+    counts = data.groupBy("shard", run).agg(F.count("*").alias(n))
+    ahead = Window.partitionBy("shard").orderBy(run).rowsBetween(Window.unboundedPreceding, -1)  # one row per run
+    counts = counts.select("shard", run, F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(first))
+    place = Window.partitionBy("shard", run).orderBy(key, tie, F.xxhash64(*[c for c in orders.columns]))
+    out = data.join(counts, ["shard", run]).withColumn("slot", F.col(first) + F.row_number().over(place) - 1)
+    return out.drop(key, weight, tie, run, first)
 
 
 def _exact_below(slim: DataFrame, keys: list[int]) -> dict[int, int]:

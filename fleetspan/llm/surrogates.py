@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import stored, unused
 
 # letters with the marks that many scripts write on or after them
 _MARKS = "".join(c for c in map(chr, range(0x300, 0x1E95B)) if unicodedata.category(c) in ("Mn", "Mc") and not 0xFE00 <= ord(c) <= 0xFE0F)
@@ -280,7 +280,7 @@ def replace_entities(customers: DataFrame, address: str = "address", key: str =
     ``as_column`` is added (a column of that name is replaced): the new text and a count per kind. Null and empty texts stay
     as they are; repeated rows are treated alike; a text without personal data is unchanged to the character.
     """
-    row, again = f"_{as_column}_row", f"_{as_column}_again"
+    row, again = unused(customers.columns, f"_{as_column}_row", f"_{as_column}_again")
     special = surrogate_map(customers, address, key).where("steps > 1").select("kind", "entity", "steps")
     none = F.array().cast("array<struct<kind:string,entity:string,steps:int>>")
     if special.isEmpty():

@@ -204,7 +204,7 @@ def test_archives_round_trip(spark, tmp_path):
     rows = [(4, "u4", long), (2, "u2", long), (2, "u2", long), (7, None, None), (8, "u8", ""), (None, "u", "x"), (9, "u9", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     folder = str(tmp_path / "archives")
-    run = archive.write_archives(pages, folder, chunk_chars=1000)
+    run = archive.write_archives(pages, folder, chunk_bytes=1000)
     got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"], r["intact"]) for r in archive.read_archives(spark, folder, run).collect()), key=str)
     size = len(long.encode())
     assert got == sorted([(4, size, "revisit", 2, True), (2, size, "response", None, True), (2, size, "response", None, True), (7, 0, "response", None, True), (8, 0, "revisit", 7, True), (None, 1, "revisit", 9, True), (9, 1, "response", None, True)], key=str)
