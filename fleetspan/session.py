@@ -16,6 +16,8 @@ DEFAULTS = {
     # a hot foreign key must be split even when that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a row may be a whole text: batches of the default 10,000 rows take hundreds of megabytes in the JVM and in Python
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
