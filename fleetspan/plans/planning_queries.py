@@ -9,6 +9,7 @@ from ..operators import forecast as FC
 from ..operators import marts as MA
 from ..operators import planning as PL
 from ..operators import site_choice as SC
+from ..operators import windowed_routes as WR
 from ..operators.joins import lookup_join
 from ..operators.ordered import time_bucket
 from ..operators.sets import busiest_group
@@ -80,6 +81,39 @@ def route_lengths(spark, sf):
     return PL.route_length(routes_for_all(spark, sf), ["site_id", "month", "sector", "route_no"])
 
 
+# fixed values: the stops are drawn in to a city around their depot, and an order's promise is a minute of its day
+CITY, CAPACITY_KG = 300.0, 120.0
+_NEAR = [f"depot.{c} + (pts.{c} - depot.{c}) / {CITY:.0f}::DOUBLE" for c in ("lat", "lon")]
+_WINDOW_SQL = f"""{DELIV}, {B.SQL_SITES}, {POINT_SQL}, s AS (SELECT d.site_id, weight_kg, 60 + order_id * 37 % 1380 AS c, {haversine_sql("depot.lat", "depot.lon", *_NEAR)} / 35 * 60 AS ride
+   FROM deliveries d JOIN pts USING (customer_id) JOIN sites depot ON depot.site_id = d.site_id), w AS (SELECT *, GREATEST(c - 120, 0) AS opens, c + 120 AS closes FROM s),
+  r AS (SELECT *, weight_kg <= {CAPACITY_KG:.0f} AND GREATEST(opens, ride) <= closes AND GREATEST(opens, ride) + 8 + ride <= 1440 AS servable FROM w)
+  SELECT site_id, COUNT(*) AS stops, COUNT(*) FILTER (servable) AS served, 0::BIGINT AS outside_window, 0::BIGINT AS served_twice, 0::BIGINT AS overloaded_routes FROM r GROUP BY 1"""
+
+
+def windowed_stops(spark, sf):
+    d = B.deliveries(spark, sf).select("site_id", F.trunc(F.col("ship_ts").cast("date"), "month").alias("month"), (F.lit(60) + F.col("order_id") * 37 % 1380).alias("_c"), "customer_id", "weight_kg", F.concat_ws("-", "order_id", "line_no", "sku_id", "value", "weight_kg").alias("stop_id"))
+    d = lookup_join(d, customer_points(spark, sf), "customer_id", "customer_id", {"lat": "_lat", "lon": "_lon"})
+    d = lookup_join(d, B.sites(spark, sf), "site_id", "site_id", {"lat": "depot_lat", "lon": "depot_lon"})
+    near = [(F.col(f"depot_{c}") + (F.col(f"_{c}") - F.col(f"depot_{c}")) / CITY).alias(c) for c in ("lat", "lon")]
+    return d.select("site_id", "month", "stop_id", *near, "depot_lat", "depot_lon", F.col("weight_kg").alias("demand_kg"), F.greatest(F.col("_c") - 120, F.lit(0)).alias("window_start"), (F.col("_c") + 120).alias("window_end"), F.lit(8.0).alias("service_minutes"))
+
+
+@query("windowed_routes")
+def windowed_routes(spark, sf):
+    return WR.windowed_routes(windowed_stops(spark, sf), ["site_id", "month"], CAPACITY_KG)
+
+
+@query("windowed_route_rules", _WINDOW_SQL)
+def windowed_route_rules(spark, sf):
+    """Every stop that a vehicle can serve is served once, in its window, and no route is overloaded."""
+    out = windowed_routes(spark, sf)
+    route = F.struct("month", "sector", "route_no")
+    loads = out.where("route_no is not null").groupBy("site_id", route.alias("r")).agg(F.sum("demand_kg").alias("load")).groupBy("site_id").agg(F.count_if(F.col("load") > CAPACITY_KG).alias("overloaded_routes"))
+    late = F.col("start_minute").isNotNull() & ((F.col("start_minute") < F.col("window_start")) | (F.col("start_minute") > F.col("window_end") + 1e-6))
+    per = out.groupBy("site_id").agg(F.count(F.lit(1)).alias("stops"), F.count("route_no").alias("served"), F.count_if(late).alias("outside_window"), (F.count(F.lit(1)) - F.count_distinct("stop_id")).alias("served_twice"))
+    return per.join(loads, "site_id", "left").fillna({"overloaded_routes": 0})
+
+
 @query("routing_instance", f"""{DELIV}, d AS (SELECT *, ship_ts::DATE AS day FROM deliveries), g AS (SELECT site_id, day, COUNT(*) AS n FROM d GROUP BY 1, 2 ORDER BY n DESC, site_id, day LIMIT 1),
   s AS (SELECT d.* FROM d JOIN g ON d.site_id = g.site_id ORDER BY (d.day <> g.day), order_id, line_no, sku_id, d.site_id, ship_ts, value, weight_kg LIMIT 40),
   c AS (SELECT *, LEAST(GREATEST(date_diff('second', (SELECT MIN(order_ts) FROM s), order_ts + INTERVAL 300 MINUTE) / 60.0::DOUBLE, 60), 1440) AS centre FROM s)
