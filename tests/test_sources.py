@@ -64,3 +64,31 @@ def test_bucketed_table_joins_without_an_exchange(spark, sf):
     a = spark.table("fs_orders_b").groupBy("o_custkey").count()
     assert "Exchange hashpartitioning" not in a._jdf.queryExecution().executedPlan().toString()
     spark.sql("drop table fs_orders_b")
+
+
+def test_every_key_of_the_layout_skips_files(spark, sf, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku_id"), F.concat(F.lit("WH-"), F.lpad("l_suppkey", 5, "0")).alias("site_id"), "l_shipdate", "l_quantity")
+    keys = ["order_id", "sku_id", "site_id", "l_shipdate"]
+    assert K.layout_keys(df) == keys
+    plain = df.repartitionByRange(32, *keys).sortWithinPartitions(*keys)
+    read = {}
+    for name, rows in (("plain", plain), ("curve", K.clustered_layout(df, keys, 32))):
+        rows.write.parquet(str(tmp_path / name))
+        files = [pq.ParquetFile(f).metadata.row_group(0) for f in glob.glob(str(tmp_path / name / "*.parquet"))]
+        for k in range(4):
+            spans = [(g.column(k).statistics.min, g.column(k).statistics.max) for g in files]
+            low, high = sorted(x[0] for x in spans), sorted(x[1] for x in spans)
+            # a filter on a tenth of the column
+            values = sorted(r[0] for r in df.select(keys[k]).collect())
+            a, b = values[len(values) // 10], values[len(values) // 5]
+            read[name, k] = sum(x[0] <= (b.encode() if isinstance(b, str) and isinstance(x[0], bytes) else b) and x[1] >= (a.encode() if isinstance(a, str) and isinstance(x[1], bytes) else a) for x in spans) / len(spans)
+        assert spark.read.parquet(str(tmp_path / name)).count() == df.count() and low <= high
+    # the first key pays a little, the others gain a lot
+    share = {k: round(v, 3) for k, v in read.items()}
+    assert all(share["curve", k] <= 0.7 * share["plain", k] for k in (1, 2, 3)) and share["curve", 0] <= 0.6, str(list(share.values()))
+    nulls = df.withColumn("sku_id", F.when(F.col("sku_id") % 2 == 0, F.col("sku_id")))
+    assert K.clustered_layout(nulls, keys, 4).exceptAll(nulls).count() == 0 and K.clustered_layout(df.limit(0), keys, 4).count() == 0
