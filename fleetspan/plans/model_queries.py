@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.chance import hash_uniform
@@ -23,8 +24,8 @@ CAT = ["c_mktsegment", "o_orderpriority"]
 NAMES = NUM + CAT
 
 
-def training_rows(spark, sf):
-    """Lines with features, split by order time: a high-value label for classification, the price for regression."""
+def training_rows(spark, sf, keep=()):
+    """Lines with the columns ``keep`` and features, split by order time: a high-value label for classification, the price for regression."""
     l, p = B.table(spark, sf, "lineitem"), B.table(spark, sf, "part")
     o = B.table(spark, sf, "orders").join(B.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(temporal(spark, sf).select("o_orderkey", "split"), "o_orderkey")
     rows = l.join(o, l.l_orderkey == o.o_orderkey).join(p, l.l_partkey == p.p_partkey)
@@ -32,7 +33,7 @@ def training_rows(spark, sf):
     odd = hash_uniform("label_noise", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]) < 0.1
     risky = (F.col("l_extendedprice") * (1 + F.col("l_tax")) > 50000) | (F.col("o_orderpriority") == "1-URGENT")
     return rows.select(
-        key.alias("line_id"), "split", *[F.col(c).cast("double").alias(c) for c in NUM if c != "order_month"], F.month("o_orderdate").cast("double").alias("order_month"), *CAT,
+        *keep, key.alias("line_id"), "split", *[F.col(c).cast("double").alias(c) for c in NUM if c != "order_month"], F.month("o_orderdate").cast("double").alias("order_month"), *CAT,
         (risky != odd).cast("double").alias("label"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net_price"))
 
 
@@ -45,6 +46,25 @@ def _prepared(spark, sf):
     return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).persist(), pre
 
 
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_PREPARED_SQL = f"""WITH {TEMPORAL_SQL}, fr AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, split, l_quantity, l_extendedprice, l_discount, l_tax, l_linenumber::DOUBLE AS line_no, p_size::DOUBLE AS p_size, p_retailprice, month(orders.o_orderdate)::DOUBLE AS order_month, c_mktsegment, o_orderpriority
+   FROM lineitem JOIN temporal ON l_orderkey = temporal.o_orderkey JOIN orders ON l_orderkey = orders.o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey),
+  m AS (SELECT {", ".join(f"AVG({c}) AS a_{c}, STDDEV_SAMP({c}) AS s_{c}" for c in [n.replace("l_linenumber", "line_no") for n in NUM])} FROM fr WHERE split = 'train'),
+  {", ".join(f"{c}_codes AS (SELECT {c}, ROW_NUMBER() OVER (ORDER BY {c}) - 1 AS {c}_code FROM (SELECT DISTINCT {c} FROM fr WHERE split = 'train'))" for c in CAT)}
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, split, {", ".join(f"ROUND(({c} - a_{c}) / s_{c}, 6) AS f{i}" for i, c in enumerate([n.replace("l_linenumber", "line_no") for n in NUM]))},
+   {", ".join(f"COALESCE({c}_code, (SELECT COUNT(*) FROM {c}_codes))::DOUBLE AS f{len(NUM) + i}" for i, c in enumerate(CAT))} FROM fr CROSS JOIN m {" ".join(f"LEFT JOIN {c}_codes USING ({c})" for c in CAT)}"""
+
+
+@query("prepared_features", _PREPARED_SQL)
+def prepared_features(spark, sf):
+    """What the preprocessor, fitted on the train side only, makes of every row."""
+    rows = training_rows(spark, sf, [F.col(c).alias(f"key_{c}") for c in _LINE])
+    pre = MO.fit_preprocessor(rows.where("split = 'train'"), NUM, CAT)
+    x = vector_to_array("features")
+    values = [F.round(F.get("x", F.lit(i)), 6).alias(f"f{i}") for i in range(len(NAMES))]
+    return pre.transform(rows).withColumn("x", x).select(*[F.col(f"key_{c}").alias(c) for c in _LINE], "split", *values)
+
+
 FAST = {
     "logistic_regression": {"maxIter": 30}, "decision_tree": {"maxDepth": 6}, "random_forest": {"numTrees": 20, "maxDepth": 6},
     "gradient_boosting": {"maxIter": 10, "maxDepth": 4}, "svm": {"maxIter": 20}, "mlp": {"maxIter": 30, "layers": [10, 16, 2]},
