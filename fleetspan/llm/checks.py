@@ -27,12 +27,14 @@ FROM b
 """
 _OP1 = "\n".join(x for x in _OP1.split("\n") if not x.startswith("r AS"))
 
-_CRC = "crc32"
-_OP2 = """
-WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, coalesce(text, '') AS text FROM documents),
+_CRC_TABLE = "tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS t)"
+_OP2 = f"""
+WITH {_CRC_TABLE},
+b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents),
+d AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_transform(bytes, lambda x: ('0x' || x)::BIGINT), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295)) AS crc FROM b, tab),
 s AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(size) OVER () AS total FROM d),
-t AS (SELECT doc_id, size, least(39, 40 * below // total)::INT AS shard FROM s)
-SELECT doc_id, size::BIGINT AS size, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM t
+t AS (SELECT doc_id, size, crc, least(39, 40 * below // total)::INTEGER AS shard FROM s)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM t
 """
 
 _SHINGLES = f"""
@@ -123,4 +125,4 @@ SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
 """
 
-SQL = {"op1_repetition": _OP1, "op3_ngram_join": _OP3, "op4_secret_ledger": _op4(), "op6_leaked_items": _OP6, "op7_warc_chunks": _OP7, "op11_dialogue_repair": _OP11}
+SQL = {"op1_repetition": _OP1, "op2_histogram_shards": _OP2, "op3_ngram_join": _OP3, "op4_secret_ledger": _op4(), "op6_leaked_items": _OP6, "op7_warc_chunks": _OP7, "op11_dialogue_repair": _OP11}
