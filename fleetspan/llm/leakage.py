@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -131,17 +132,16 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _finder(held, window: int, max_words: int):
     """A column function from texts to matches in one automaton, built once per Python worker."""
-    cache: list[Automaton] = []
-
     @F.pandas_udf(_RESULT)
     def find(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        if not cache:
-            cache.append(Automaton(held.value, window))
+        v = held.value
+        if v.automaton is None:  # once a worker: the broadcast value stays there
+            v.automaton = Automaton(v.items, window)
         for texts, before in parts:
             rows = []
             for text, known in zip(texts, before):
                 words = words_of(text)
-                spans, items, longest = cache[0].matches(words)
+                spans, items, longest = v.automaton.matches(words)
                 spans = _merged([*spans, *((int(a), int(b)) for a, b in known)])
                 clean, chars = text, 0
                 cut = [s for s in spans if s[1] - s[0] > max_words]
@@ -178,7 +178,7 @@ def strip_leaks(customers: DataFrame, items: DataFrame, address: str = "address"
     items = items.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)))
     out, spans, cols = customers, F.array().cast("array<array<long>>"), []
     for k in range(parts):
-        held = spark.sparkContext.broadcast([(r["item"], words_of(r["text"])) for r in items.where(F.col("part") == k).select("item", "text").collect()])
+        held = spark.sparkContext.broadcast(SimpleNamespace(items=[(r["item"], words_of(r["text"])) for r in items.where(F.col("part") == k).select("item", "text").collect()], automaton=None))
         cols += unused(out.columns, f"_{as_column}_{k}")
         out = out.withColumn(cols[-1], _finder(held, window, max_words)(F.col(address), spans))
         spans = F.col(f"{cols[-1]}.spans")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -117,24 +118,24 @@ def token_pieces(records: DataFrame, key: str, text: str, vocabulary: str, capac
     ``special`` is one token wherever it stands; null is empty. Texts of more than ``capacity`` ids are cut so that all pieces but the first
     are full.
     """
-    held = records.sparkSession.sparkContext.broadcast(open(vocabulary, "rb").read())  # 1 MB, a fixed file
+    held = records.sparkSession.sparkContext.broadcast(SimpleNamespace(ranks=open(vocabulary, "rb").read(), encoding=None))  # 1 MB, a fixed file
     schema = f"key {records.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
-    cache: list = []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not cache:
+        v = held.value
+        if v.encoding is None:  # once a worker: the broadcast value stays there
             import base64
 
             import public_tokenizers
             import tiktoken
 
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, held.value.splitlines())}
-            cache.append(tiktoken.Encoding("records", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special))
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, v.ranks.splitlines())}
+            v.encoding = tiktoken.Encoding("records", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         for b in batches:
             rows = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = t.as_py() or ""
-                ids = np.empty(0, np.uint32) if not t else cache[0].encode_to_numpy(t, allowed_special="all")
+                ids = np.empty(0, np.uint32) if not t else v.encoding.encode_to_numpy(t, allowed_special="all")
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 first = len(ids) % capacity or capacity
                 bounds = [0, *range(first, len(ids) + 1, capacity)]
