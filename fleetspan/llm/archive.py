@@ -107,7 +107,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         when(F.col("revisit"), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), when(F.col("revisit"), F.lit("X-Refers-To-Page: "), text("first_id")),
         when(many, F.lit("WARC-Segment-Number: "), (F.col("chunk") + 1).cast("string")), when(~first, F.lit("WARC-Segment-Origin-ID: "), origin),
         when(many & (F.col("chunk") + 1 == F.col("chunks")), F.lit("WARC-Segment-Total-Length: "), text("payload_bytes")), when(many, F.lit("X-Running-Digest: sha1:"), base32_of_hex(F.col("digest_so_far"))),
-        when(~F.col("revisit"), F.lit("WARC-Block-Digest: sha1:"), base32_of_hex(F.sha1(F.col("part").cast("binary")))), when(F.lit(True), F.lit("Content-Type: text/html")), F.lit("Content-Length: "), F.when(F.col("revisit"), "0").otherwise(text("part_bytes")), F.lit(end + end),
+        when(many, F.lit("WARC-Block-Digest: sha1:"), F.sha1(F.col("part").cast("binary"))), when(F.lit(True), F.lit("Content-Type: text/html")), F.lit("Content-Length: "), F.when(F.col("revisit"), "0").otherwise(text("part_bytes")), F.lit(end + end),
     )
     body = F.when(F.col("revisit"), "").otherwise(F.col("part"))
     # a line is a record with its closing blank lines but the last line feed, which the writer adds
@@ -119,8 +119,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 def read_archives(spark: SparkSession, folder: str, run: str) -> DataFrame:
     """The pages behind archives of a run, one row each: page_id, url, sizes as read, digest, record type, page referred to, and intact.
 
-    intact: all segments are there, sizes add up, and the digest of every block as read is the one that its record states (for
-    a payload in one block that is the payload's digest). Blocks stay segmented, so no payload is put together. An archive
+    intact: all segments are there, sizes add up, and the digest of every block as read is the one that its record states: that
+    of the payload, or of the segment. Blocks stay segmented, so no payload is put together. An archive
     without records gives no rows.
     """
     raw = spark.read.option("lineSep", _separator(run)).text(folder)
@@ -134,7 +134,7 @@ def read_archives(spark: SparkSession, folder: str, run: str) -> DataFrame:
     rows = rows.select(
         get("WARC-Type").alias("type"), get("X-Page-ID").cast("long").alias("page_id"), get("WARC-Target-URI").alias("url"), get("WARC-Payload-Digest").alias("digest"), get("X-Payload-Length").cast("long").alias("stated"),
         get("X-Refers-To-Page").cast("long").alias("refers_to"), F.coalesce(get("WARC-Segment-Origin-ID"), get("WARC-Record-ID")).alias("record"), F.coalesce(get("WARC-Segment-Number").cast("long"), F.lit(1)).alias("segment"), get("X-Running-Digest").alias("running"),
-        F.octet_length("block").cast("long").alias("size"), ((F.octet_length("block") == length) & ((get("WARC-Type") == "revisit") | F.coalesce(F.concat(F.lit("sha1:"), base32_of_hex(F.sha1(F.col("block").cast("binary")))) == get("WARC-Block-Digest"), F.lit(False)))).alias("whole"), F.sha1(F.col("block").cast("binary")).alias("sha1"), get("WARC-Segment-Total-Length").cast("long").alias("total"),
+        F.octet_length("block").cast("long").alias("size"), ((F.octet_length("block") == length) & F.when(get("X-Running-Digest").isNotNull(), F.coalesce(F.concat(F.lit("sha1:"), F.sha1(F.col("block").cast("binary"))) == get("WARC-Block-Digest"), F.lit(False))).otherwise(True)).alias("whole"), F.sha1(F.col("block").cast("binary")).alias("sha1"), get("WARC-Segment-Total-Length").cast("long").alias("total"),
     )
     whole = rows.where("running is null").select("page_id", "url", F.coalesce("stated", "size").alias("payload_bytes"), F.substring("digest", 6, 32).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", (F.col("whole") & ((F.col("type") == "revisit") | ((F.col("size") == F.col("stated")) & (F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha1"))) == F.col("digest"))))).alias("intact"))
     parts = rows.where("running is not null")
